@@ -30,7 +30,7 @@ def squeeze(c: Column) -> Column:
     c = F.lower(c)
     c = F.regexp_replace(c, "(\\p{P})\\1+", "$1")
     c = F.regexp_replace(c, "(?<=[0-9０-９])[.．](?=[0-9０-９])", "\u0001")
-    c = F.regexp_replace(c, "(?<![\\p{L}\\p{N}%℃\\u0001])[-－−](?=[0-9０-９])", "\u0002")
+    c = F.regexp_replace(c, "(?<![\\p{IsLatin}\\p{N}%℃\\u0001])[-－−](?=[0-9０-９])", "\u0002")
     return F.regexp_replace(c, "[\\p{P}&&[^%％‰]]+", "")
 
 
