@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from . import encoding, formatting_copies, lookalike, packing, splitting
+from . import encoding, formatting_copies, lookalike, packing, scan_noise, splitting
 
 
 def _limit(spark: SparkSession, base: str, name: str) -> tuple[int, int]:
@@ -40,6 +40,33 @@ def p2_records(spark: SparkSession, base: str) -> DataFrame:
     return formatting_copies.collapse(_copy_rows(spark, base), ["src_table", "key"]).select("src_table", "keep_id", "n_copies")
 
 
+def _noise(spark: SparkSession, base: str) -> DataFrame:
+    paras, blocks = table(spark, base, "ocr_paragraphs"), table(spark, base, "blocks")
+    decisions = scan_noise.decide(cut(scan_noise.count_lexicon(paras.select("text").unionAll(blocks.select("text")))))
+    titles = table(spark, base, "pdf_files").groupBy("doc_id").agg(F.min("title").alias("title"))
+    in_points = F.lit(72.0) / F.when(F.col("coord_dpi") > 0, F.col("coord_dpi"))
+    height = F.abs(F.col("y1") - F.col("y0"))
+    lines = blocks.join(titles, "doc_id", "left").withColumns({
+        "top": F.least("y0", "y1") * in_points,
+        "size": F.when(height > 0, height).otherwise(F.when(F.col("font_size") > 0, F.col("font_size"))) * in_points,
+    })
+    return _two(
+        scan_noise.find_noise(lines, decisions, "block_id", False),
+        scan_noise.find_noise(paras.join(titles, "doc_id", "left"), decisions, "id", True),
+        "blocks", "ocr_paragraphs",
+    )
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Kinds of scanning noise in each text: src_table, row_id, noise_kind."""
+    return _noise(spark, base).select("src_table", "row_id", F.explode("kinds").alias("noise_kind"))
+
+
+def p4_repaired(spark: SparkSession, base: str) -> DataFrame:
+    """Every text repaired to a continuous readable one: src_table, row_id, repaired."""
+    return _noise(spark, base).select("src_table", "row_id", "repaired")
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """Natural boundaries in paragraphs above the limit: para_id, cut_pos."""
     size, overlap = _limit(spark, base, "paragraph_piece")
@@ -86,7 +113,7 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_records, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
+    f.__name__: f for f in (p2_found, p2_records, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
 }
 
 #: Queries of this package that SQL can express on whole tables.
