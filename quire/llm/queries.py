@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from . import encoding, formatting_copies, lookalike, packing, scan_noise, splitting
+from . import encoding, formatting_copies, lookalike, packing, pairs, scan_noise, splitting
 
 
 def _limit(spark: SparkSession, base: str, name: str) -> tuple[int, int]:
@@ -21,6 +21,29 @@ def _two(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
     return a.withColumn("src_table", F.lit(name_a)).unionByName(b.withColumn("src_table", F.lit(name_b)))
 
 
+def translated_pages(spark: SparkSession, base: str) -> DataFrame:
+    """doc_id and page_num of the pages whose latest row in the page store is 'translated'."""
+    latest = table(spark, base, "ocr_pages").groupBy("doc_id", "page_num").agg(F.max_by("status", F.struct("saved_at", "loaded_at", "status")).alias("status"))
+    return latest.where("status = 'translated'").select("doc_id", "page_num")
+
+
+def _defects(spark: SparkSession, base: str) -> DataFrame:
+    cache, paras = table(spark, base, "translation_cache"), table(spark, base, "ocr_paragraphs")
+    of_cache = cache.select(F.col("source_text").alias("prompt"), F.col("translated_text").alias("answer"), F.lit("translation_cache").alias("src_table"), F.col("cache_id").alias("row_id"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_num"))
+    of_paras = paras.select(F.col("text").alias("prompt"), F.col("translated_text").alias("answer"), F.lit("ocr_paragraphs").alias("src_table"), F.col("id").alias("row_id"), "doc_id", "page_num")
+    both = of_cache.unionAll(of_paras)
+    labels = formatting_copies.learn_labels(both, "prompt")
+    endings = pairs.learn_endings(both)
+    return pairs.find_defects(both, labels, endings, ["src_table", "row_id", "doc_id", "page_num"])
+
+
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """Defective answers: src_table, row_id, defect. The pages are joined to the defects alone."""
+    found = cut(_defects(spark, base))
+    on_pages = found.where("src_table = 'ocr_paragraphs'").join(translated_pages(spark, base), ["doc_id", "page_num"], "left_semi")
+    return found.where("src_table = 'translation_cache'").select("src_table", "row_id", "defect").unionAll(on_pages.select("src_table", "row_id", "defect"))
+
+
 def _copy_rows(spark: SparkSession, base: str) -> DataFrame:
     cache, paras = table(spark, base, "translation_cache"), table(spark, base, "ocr_paragraphs")
     labels = formatting_copies.learn_labels(cache.select(F.col("source_text").alias("text")).unionAll(paras.select("text")))
@@ -113,7 +136,7 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_records, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
+    f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
 }
 
 #: Queries of this package that SQL can express on whole tables.
