@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from . import encoding, formatting_copies, lookalike, packing, pairs, scan_noise, splitting
+from . import alignment, encoding, formatting_copies, lookalike, packing, pairs, scan_noise, splitting
 
 
 def _limit(spark: SparkSession, base: str, name: str) -> tuple[int, int]:
@@ -63,6 +64,25 @@ def p2_records(spark: SparkSession, base: str) -> DataFrame:
     return formatting_copies.collapse(_copy_rows(spark, base), ["src_table", "key"]).select("src_table", "keep_id", "n_copies")
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Sentences that translate each other: para_id, ja_sent, zh_sent. The pages are joined to the links alone."""
+    rows = table(spark, base, "ocr_paragraphs").select("id", "doc_id", "page_num", F.col("text").alias("source"), F.col("translated_text").alias("target"))
+    rows = rows.where((F.length("source") <= 700) & F.col("source").rlike("[。．！？]") & F.col("target").rlike("[\\u3400-\\u9fff]"))
+    source, target, info = alignment.unit_frequency(rows)
+    counts = alignment.learn_table(cut(alignment.encode_units(rows, source, target)), len(source), len(target))
+    defects = rows.select(F.col("source").alias("prompt"), F.col("target").alias("answer"))
+    labels, endings = formatting_copies.learn_labels(defects, "prompt"), pairs.learn_endings(defects)
+    names = "|".join(re.escape(w) for w in labels)
+    label_pattern = re.compile(f"(?:{names}){pairs.SEPARATOR}") if names else None
+
+    def defective(s: str, t: str) -> bool:
+        return pairs.classify(s, t, label_pattern, endings) is not None
+
+    links = cut(alignment.align_pairs(rows, source, target, info, counts, ["id", "doc_id", "page_num"], defective))
+    on_pages = links.join(translated_pages(spark, base), ["doc_id", "page_num"], "left_semi")
+    return on_pages.select(F.col("id").alias("para_id"), F.col("source_sentence").alias("ja_sent"), F.col("target_sentence").alias("zh_sent"))
+
+
 def _noise(spark: SparkSession, base: str) -> DataFrame:
     paras, blocks = table(spark, base, "ocr_paragraphs"), table(spark, base, "blocks")
     decisions = scan_noise.decide(cut(scan_noise.count_lexicon(paras.select("text").unionAll(blocks.select("text")))))
@@ -136,7 +156,7 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
+    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
 }
 
 #: Queries of this package that SQL can express on whole tables.
