@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..sources.tables import table
-from . import alignment, encoding, formatting_copies, lookalike, packing, pairs, scan_noise, splitting
+from . import alignment, encoding, formatting_copies, lookalike, packing, pairs, reading_level, scan_noise, splitting
 
 
 def _limit(spark: SparkSession, base: str, name: str) -> tuple[int, int]:
@@ -155,8 +155,22 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_containers(encoding.count_tokens(docs), capacity, n_items=docs.count())
 
 
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Reading level of every document of running prose: doc_id, reading_level."""
+    model = reading_level.train(reading_level.collect_samples(table(spark, base, "graded_samples")))
+    return reading_level.grade(table(spark, base, "documents"), model)
+
+
+def p9_profile(spark: SparkSession, base: str) -> DataFrame:
+    """The familiar-word formula's terms and level of every document of running prose."""
+    docs = table(spark, base, "documents")
+    familiar = reading_level.familiar_words(docs)
+    weights = reading_level.fit_formula(reading_level.collect_samples(table(spark, base, "graded_samples")), familiar)
+    return reading_level.profile(docs, familiar, weights)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers)
+    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers, p9_found, p9_profile)
 }
 
 #: Queries of this package that SQL can express on whole tables.
