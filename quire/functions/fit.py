@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BLANK, is_blank, strip
+from .text import is_blank, strip
 
 WIDE = "[\\u4e00-\\u9fff\\u3000-\\u30ff]"
 LINE_SPACING, MIN_FONT, MARGIN = 1.25, 4, 0.95
@@ -22,74 +23,114 @@ def line_font(height: Column) -> Column:
     return F.when(height < 2, F.lit(0)).otherwise(F.greatest(F.lit(1), (height * 0.72).cast("int")))
 
 
-def wrap(text: Column, width: Column, font: Column) -> Column:
+def wrap_line(text: str, width: float, font: float) -> list[str]:
     """Greedy lines of at most 95 % of ``width``, one character at least, stripped."""
-    chars = F.filter(F.split(strip(text), ""), lambda c: c != "")
-    limit = width * MARGIN
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0.0).alias("used"))
+    if not text.strip():
+        return []
+    if width < 2:
+        return [text]
+    lines, start, used, limit = [], 0, 0.0, width * MARGIN
+    text = text.strip()
+    for at, c in enumerate(text):
+        if at == start and c.isspace():
+            start += 1
+            continue
+        w = font if "\u4e00" <= c <= "\u9fff" or "\u3000" <= c <= "\u30ff" else font * 0.5
+        if at > start and used + w > limit:
+            lines.append(text[start:at].strip())
+            start, used = (at + 1, 0.0) if c.isspace() else (at, w)
+        else:
+            used += w
+    if start < len(text):
+        lines.append(text[start:].strip())
+    return lines
+
+
+def fit_text(text: str | None, width: float, height: float, initial: int) -> tuple[int, list[str]]:
+    """The largest size from ``initial`` down to 4 whose lines fit the height, else 4, with its lines."""
+    if not text or not text.strip():
+        return initial, []
+    if width < 2 or height < 2:
+        return initial, [text]
+    for size in range(initial, MIN_FONT - 1, -1):
+        lines = wrap_line(text, width, size)
+        if len(lines) * size * LINE_SPACING <= height:
+            return size, lines
+    return MIN_FONT, wrap_line(text, width, MIN_FONT)
+
 
-    def step(s: Column, c: Column) -> Column:
-        w = F.when(c.rlike(WIDE), font * F.lit(1.0)).otherwise(font * F.lit(0.5))
-        blank = c.rlike(BLANK)
-        fits = (s["line"] == "") | (s["used"] + w <= limit)
-        return (
-            F.when(blank & (s["line"] == ""), s)
-            .when(fits, F.struct(s["lines"].alias("lines"), F.concat(s["line"], c).alias("line"), (s["used"] + w).alias("used")))
-            .otherwise(F.struct(F.concat(s["lines"], F.array(strip(s["line"]))).alias("lines"), F.when(blank, "").otherwise(c).alias("line"), F.when(blank, 0.0).otherwise(w).alias("used")))
-        )
+def wrap(text: Column, width: Column, font: Column) -> Column:
+    """``wrap_line`` over Arrow batches; a greedy walk over characters is far slower as a fold of expressions."""
+    @F.pandas_udf("array<string>")
+    def run(t: pd.Series, w: pd.Series, f: pd.Series) -> pd.Series:
+        return pd.Series([wrap_line(a, b, c) if a is not None else [] for a, b, c in zip(t, w, f)])
 
-    done = lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(strip(s["line"]))))
-    return F.when(is_blank(text), F.array().cast("array<string>")).when(width < 2, F.array(text)).otherwise(F.aggregate(chars, start, step, done))
+    return run(text, width.cast("double"), font.cast("double"))
 
 
 def fit(text: Column, width: Column, height: Column, initial: Column) -> Column:
-    """struct(font, lines): the largest size from ``initial`` down to 4 whose lines fit the height, else 4."""
-    sizes = F.when(initial >= MIN_FONT, F.sequence(F.lit(MIN_FONT), initial)).otherwise(F.array().cast("array<int>"))
-    fitting = F.filter(sizes, lambda s: F.size(wrap(text, width, s)) * s * LINE_SPACING <= height)
-    font = F.coalesce(F.array_max(fitting), F.lit(MIN_FONT))
-    tiny = (width < 2) | (height < 2)
-    chosen = F.when(tiny | is_blank(text), initial).otherwise(font)
-    lines = F.when(is_blank(text), F.array().cast("array<string>")).when(tiny, F.array(text)).otherwise(wrap(text, width, font))
-    return F.struct(chosen.cast("int").alias("font"), lines.alias("lines"))
+    """struct(font, lines) by ``fit_text`` over Arrow batches."""
+    @F.pandas_udf("font int, lines array<string>")
+    def run(t: pd.Series, w: pd.Series, h: pd.Series, i: pd.Series) -> pd.DataFrame:
+        rows = [fit_text(a, b, c, int(d)) for a, b, c, d in zip(t, w, h, i)]
+        return pd.DataFrame({"font": pd.Series([r[0] for r in rows], dtype="int32"), "lines": [r[1] for r in rows]})
 
+    return run(text, width.cast("double"), height.cast("double"), initial.cast("int"))
 
-def split_proportionally(text: Column, lengths: Column) -> Column:
+
+def proportional_parts(text: str | None, lengths: list[int]) -> list[str]:
     """Pieces of ``text`` in proportion to the original line lengths; the rest goes to the last."""
-    total = F.greatest(F.aggregate(lengths, F.lit(0), lambda a, x: a + x), F.lit(1))
-    n, size = F.length(text), F.size(lengths)
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), F.lit(0).alias("k"))
-
-    def step(s: Column, length: Column) -> Column:
-        end = F.least(s["at"] + F.floor(n * length / total).cast("int"), n)
-        last = s["k"] + 1 == size
-        part = F.when(last, F.substring(text, s["at"] + 1, n)).otherwise(F.substring(text, s["at"] + 1, end - s["at"]))
-        return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), end.alias("at"), (s["k"] + 1).alias("k"))
-
-    many = F.aggregate(lengths, start, step, lambda s: s["parts"])
-    blank = F.transform(lengths, lambda _: F.lit(""))
-    return F.when(F.coalesce(text, F.lit("")) == "", blank).when(size <= 1, F.array(text)).otherwise(many)
-
-
-def split_by_width(text: Column, widths: Column, heights: Column, min_font: int = 6) -> Column:
-    """Longest prefix for each line box that fits at ``min_font``; boxes under 2 points stay empty; the rest goes to the last."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    boxes = F.arrays_zip(widths.alias("w"), heights.alias("h"))
-    size = F.size(widths)
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"), F.lit(0).alias("k"))
-
-    def step(s: Column, b: Column) -> Column:
-        rest = F.slice(chars, s["at"] + 1, F.greatest(F.size(chars) - s["at"], F.lit(0)))
-        runs = F.aggregate(rest, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("w")), lambda r, c: F.when(
-            (r["w"] >= 0) & (r["w"] + F.when(c.rlike(WIDE), float(min_font)).otherwise(min_font * 0.5) <= b["w"] * MARGIN),
-            F.struct((r["n"] + 1).alias("n"), (r["w"] + F.when(c.rlike(WIDE), float(min_font)).otherwise(min_font * 0.5)).alias("w")),
-        ).otherwise(F.struct(r["n"].alias("n"), F.lit(-1.0).alias("w"))), lambda r: r["n"])
-        tall = b["h"] * MARGIN >= min_font
-        count = F.when((b["w"] < 2) | (b["h"] < 2) | (F.size(rest) == 0), 0).otherwise(F.greatest(F.when(tall, runs).otherwise(0), F.lit(1)))
-        last = s["k"] + 1 == size
-        taken = F.when(last, F.size(rest)).otherwise(count)
-        return F.struct(F.concat(s["parts"], F.array(F.array_join(F.slice(rest, 1, taken), ""))).alias("parts"), (s["at"] + taken).alias("at"), (s["k"] + 1).alias("k"))
-
-    return F.when(F.coalesce(text, F.lit("")) == "", F.transform(widths, lambda _: F.lit(""))).when(size <= 1, F.array(text)).otherwise(F.aggregate(boxes, start, step, lambda s: s["parts"]))
+    if not text:
+        return ["" for _ in lengths]
+    if len(lengths) <= 1:
+        return [text]
+    total, ends, at = max(1, sum(lengths)), [], 0
+    for n in lengths[:-1]:
+        at = min(at + len(text) * n // total, len(text))
+        ends.append(at)
+    return [text[x:y] for x, y in zip([0, *ends], [*ends, len(text)])]
+
+
+def width_parts(text: str | None, widths: list[float], heights: list[float], min_font: int = 6) -> list[str]:
+    """For each line box the longest prefix that fits at ``min_font``, one character at least; boxes under 2 points stay empty; the rest goes to the last."""
+    if not text:
+        return ["" for _ in widths]
+    if len(widths) <= 1:
+        return [text]
+    parts, at = [], 0
+    for w, h in zip(widths, heights):
+        if at >= len(text) or w < 2 or h < 2:
+            parts.append("")
+            continue
+        end, used = at, 0.0
+        while h * MARGIN >= min_font and end < len(text):
+            used += min_font if "\u4e00" <= text[end] <= "\u9fff" or "\u3000" <= text[end] <= "\u30ff" else min_font * 0.5
+            if used > w * MARGIN:
+                break
+            end += 1
+        end = max(end, at + 1)
+        parts.append(text[at:end])
+        at = end
+    parts[-1] += text[at:]
+    return parts
+
+
+def _proportional(t: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else proportional_parts(a, [int(x or 0) for x in b]) for a, b in zip(t, n)])
+
+
+def _by_width(t: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else width_parts(a, list(b), list(c)) for a, b, c in zip(t, w, h)])
+
+
+def split_proportionally(text: Column, lengths: Column) -> Column:
+    """``proportional_parts`` over Arrow batches."""
+    return F.pandas_udf(_proportional, "array<string>")(text, lengths)
+
+
+def split_by_width(text: Column, widths: Column, heights: Column) -> Column:
+    """``width_parts`` over Arrow batches."""
+    return F.pandas_udf(_by_width, "array<string>")(text, widths, heights)
 
 
 def split_cluster_text(text: Column, n_paragraphs: Column) -> Column:

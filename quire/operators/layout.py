@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.text import ordered_concat, starts_paragraph
+from ..session import cut
 from .boxes import PAGE
 
 Rect = tuple[float, float, float, float]
@@ -265,9 +266,10 @@ def layout_paragraphs(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     # a page of one paragraph keeps its line order, else boxes are ordered by place
     alone = F.max("para_idx").over(Window.partitionBy(*PAGE)) == 0
     boxes = boxes.withColumns({"_o1": F.when(alone, F.col("line_no").cast("double")).otherwise(F.col("y0")), "_o2": F.when(alone, F.col("box_no").cast("double")).otherwise(F.col("x0"))})
+    boxes = cut(boxes)  # read four times below, while the grouped passes should run once
     paragraphs = boxes.groupBy(*PAGE, "para_idx").agg(*g.union_box())
     medians = boxes.groupBy(*PAGE).agg(g.upper_median(F.col("y1") - F.col("y0")).alias("median_height"))
-    merged = merged_paragraphs(boxes, paragraphs, medians, ("_o1", "_o2", "para_idx", "block_idx"))
+    merged = cut(merged_paragraphs(boxes, paragraphs, medians, ("_o1", "_o2", "para_idx", "block_idx")))
     merged = merged.join(order_pages(merged, "group_idx"), [*PAGE, "group_idx"]).join(sizes, PAGE, "left")
     kind = g.layout_class(g.box(), F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0)), F.col("font_size"), F.length("text"), F.col("n_lines"))
     return merged.select(*PAGE, "reading_no", kind.alias("layout_type"), "text", "x0", "y0", "x1", "y1", "n_lines", "font_size")

@@ -487,10 +487,10 @@ def full_run(spark: SparkSession, base: str) -> DataFrame:
 # --- fitting and drawing ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {_line_sql()}, p AS (SELECT l.doc_id, l.page_num, l.para_idx, list(length(x.text) ORDER BY line_idx) AS n, any_value(coalesce(translated_text, '')) AS t FROM latest l JOIN lines x USING (doc_id, page_num, para_idx) GROUP BY ALL),
-  c AS (SELECT doc_id, page_num, para_idx, t, n, i, CASE WHEN len(n) <= 1 THEN 0 ELSE least(list_sum([length(t) * v // greatest(list_sum(n), 1) for v in n[1:i - 1]]), length(t)) END AS a, CASE WHEN i = len(n) THEN length(t) ELSE least(list_sum([length(t) * v // greatest(list_sum(n), 1) for v in n[1:i]]), length(t)) END AS b
-    FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM p))
-  SELECT doc_id, page_num, para_idx::BIGINT AS para_idx, i - 1 AS line_idx, substring(t, coalesce(a, 0)::BIGINT + 1, (b - coalesce(a, 0))::BIGINT) AS part FROM c""")
+@query(f"""WITH {_line_sql()}, p AS (SELECT l.doc_id, l.page_num, l.para_idx, list(length(x.text) ORDER BY line_idx) AS n, any_value(coalesce(l.translated_text, '')) AS t FROM latest l JOIN lines x ON l.doc_id = x.doc_id AND l.page_num = x.page_num AND l.para_idx = x.para_idx GROUP BY ALL),
+  e AS (SELECT doc_id, page_num, para_idx, t, len(n) AS size, i, sum(length(t) * n[i] // greatest(list_sum(n), 1)) OVER (PARTITION BY doc_id, page_num, para_idx ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS b FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM p)),
+  c AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id, page_num, para_idx ORDER BY i), 0) AS a FROM e)
+  SELECT doc_id, page_num, para_idx::BIGINT AS para_idx, i - 1 AS line_idx, CASE WHEN i = size THEN substring(t, a + 1) ELSE substring(t, a + 1, b - a) END AS part FROM c""")
 def proportional_split(spark: SparkSession, base: str) -> DataFrame:
     """Stored translations split over the printed lines."""
     paras = store.latest_paragraphs(table(spark, base, "ocr_paragraphs"))
