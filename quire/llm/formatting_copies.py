@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: White space that formatting may change. Other space characters are look-alikes (problem 6).
 SPACE = "[ \\t\\r\\n\\u000b\\f\\u3000]+"
 #: Marks between a label and its value.
@@ -38,7 +40,7 @@ def learn_labels(texts: DataFrame, text_col: str = "text", share: float = LABEL_
     """Field labels of the corpus: short words before a colon at the start of a field, by their share of all such words."""
     pattern = "(?:^|[；;，,、\\n\\t])[ \\u3000]*([^\\s\\d：:；;，,、。．・…/「」『』（）()\\-]{1,8})[：:]"
     words = texts.where(F.col(text_col).rlike("[：:]")).select(F.explode(F.expr(f"regexp_extract_all(`{text_col}`, '{pattern}', 1)".replace("\\", "\\\\"))).alias("w"))
-    counts = words.groupBy("w").count()
+    counts = cut(words.groupBy("w").count())
     total = counts.agg(F.sum("count")).first()[0] or 0
     kept = counts.where(F.col("count") >= max(2, total * share)).collect()  # at most 1 / share words
     return sorted((r.w for r in kept), key=lambda w: (-len(w), w))

@@ -68,8 +68,9 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Sentences that translate each other: para_id, ja_sent, zh_sent. The pages are joined to the links alone."""
     rows = table(spark, base, "ocr_paragraphs").select("id", "doc_id", "page_num", F.col("text").alias("source"), F.col("translated_text").alias("target"))
     rows = rows.where((F.length("source") <= 700) & F.col("source").rlike("[。．！？]") & F.col("target").rlike("[\\u3400-\\u9fff]"))
-    source, target, info = alignment.unit_frequency(rows)
-    counts = alignment.learn_table(cut(alignment.encode_units(rows, source, target)), len(source), len(target))
+    encoded = cut(alignment.encode_units(rows))
+    source, target, info = alignment.unit_frequency(encoded)
+    counts = alignment.learn_table(encoded, source, target)
     defects = rows.select(F.col("source").alias("prompt"), F.col("target").alias("answer"))
     labels, endings = formatting_copies.learn_labels(defects, "prompt"), pairs.learn_endings(defects)
     names = "|".join(re.escape(w) for w in labels)
