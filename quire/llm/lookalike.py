@@ -108,10 +108,10 @@ def _members() -> frozenset[str]:
 
 
 def rewrite_table(frequency: dict[str, int]) -> dict[str, str]:
-    """Every class member to the most frequent single character of its class; ties go to the smallest string."""
+    """Every class member to the most frequent single character of its class; ties go to a normal form, then to the smallest."""
     table = {}
     for group in look_alike_classes():
-        best = "" if "" in group else min((x for x in group if len(x) == 1), key=lambda x: (-frequency.get(x, 0), x), default=min(group))
+        best = "" if "" in group else min((x for x in group if len(x) == 1), key=lambda x: (-frequency.get(x, 0), x != unicodedata.normalize("NFKC", x), x), default=min(group))
         for x in group:
             if x != best:
                 table[x] = best

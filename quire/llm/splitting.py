@@ -23,6 +23,7 @@ OPENERS = {"」": "「", "』": "『", "）": "（", "〕": "〔", "”": "“",
 BLANK = " \t\r\n　 "
 TERMINAL = re.compile(r"[。．！？!?…]+|\.+")
 ITEM = re.compile(r"[ \t　]*(?:[(（][0-9０-９a-zA-Z]{1,3}[)）]|[0-9０-９]{1,3}[.)．）](?=[ \t　])|[①-⑳]|[・•‣◦●○■□◆◇※]|[-–−*](?=[ \t　]))[ \t　]*\S")
+PAGE_MARK = re.compile(r"[ \t　]*[-–−][ \t　]*[0-9０-９]+[ \t　]*[-–−]")
 #: Words before a point that end no sentence.
 ABBREVIATIONS = frozenset("dr mr mrs ms prof st no nos fig figs sec secs eq eqs ref refs vol vols ch p pp ed eds approx e.g i.e cf vs etc al inc ltd co corp dept est max min ca resp jr sr".split())
 WORD_BEFORE = re.compile(r"[A-Za-z][A-Za-z.]*$")
@@ -92,7 +93,7 @@ def natural_boundaries(text: str | None) -> list[int]:
     at = 0
     for line in text.split("\n"):
         body = line.rstrip(BLANK)
-        if body and ITEM.match(body):
+        if body and ITEM.match(body) and not PAGE_MARK.fullmatch(body):
             found.add(at + len(body))
         at += len(line) + 1
     return sorted(p for p in found if 0 < p < n)
