@@ -71,7 +71,7 @@ def test_pieces(text, size, overlap):
 
 
 def test_look_alikes():
-    rewrite = lookalike.Rewriter(lookalike.rewrite_table({"A": 9, "Ａ": 1, "：": 5, ":": 1, "ガ": 3, "4": 2, "-": 3}))
+    rewrite = lookalike.Rewriter(lookalike.rewrite_table({"A": 9, "Ａ": 1, "：": 5, ":": 1, "，": 2, "ガ": 3, "4": 2, "-": 3}))
     assert rewrite("Ａ А Α A") == "A A A A"
     assert rewrite("ｶﾞｶ゙が") == "ガガが" and rewrite("ﾊﾟ") == "パ"
     assert rewrite("４－2 x​­⽴:") == "4-2 x立："
