@@ -126,7 +126,7 @@ def test_engine_merge_keeps_longer_text(spark):
 
     rows = merge_engines(blocks(spark, [(0, 0, 100, 20, "ab"), (2, 1, 101, 21, "abc"), (0, 50, 10, 60, "x"), (1, 1, 99, 20, "z")], "ocr")).collect()
     assert sorted(r.text for r in rows) == ["abc", "x"]
-    rows = merge_horizontally(blocks(spark, [(0, 0, 10, 10, "a"), (12, 1, 20, 10, "b"), (21, 0, 30, 11, "c"), (80, 0, 90, 10, "d")])).orderBy("x0").collect()
+    rows = merge_horizontally(blocks(spark, [(0, 0, 10, 10, "a"), (12, 0, 20, 11, "b"), (21, 0, 30, 10, "c"), (80, 0, 90, 10, "d")])).orderBy("x0").collect()
     assert [r.text for r in rows] == ["abc", "d"]
 
 

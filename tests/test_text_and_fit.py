@@ -47,7 +47,7 @@ def test_wrap_and_fit():
         for width in (1.0, 8.0, 30.0, 100.0):
             for font in (4, 7, 12):
                 assert fit.wrap_line(text, width, font) == wrap_by_prefix(text, width, font), (text, width, font)
-    assert fit.fit_text("漢字" * 30, 100.0, 30.0, 12)[0] == 4
+    assert fit.fit_text("漢字" * 30, 100.0, 30.0, 12)[0] == 6
     assert fit.fit_text("漢字", 100.0, 30.0, 12) == (12, ["漢字"])
     assert fit.fit_text(None, 100.0, 30.0, 12) == (12, [])
 
