@@ -83,6 +83,9 @@ def is_head(line: str, title: str | None) -> bool:
     for x in {core, re.sub(r"(?:巻.|[上中下続])$", "", core)}:
         if len(x) == len(own) and sum(a != b for a, b in zip(x, own)) <= max(1, len(own) // 6):
             return True
+        # cut off at either end; names of places and houses differ by one character, so only confusion pairs may differ
+        if 4 <= len(x) < len(own) <= 2 * len(x) and any(all(a == b or b + a in CONFUSIONS for a, b in zip(x, part)) for part in (own, own[-len(x) :])):
+            return True
     return False
 
 

@@ -112,6 +112,18 @@ def test_hyphens_heads_and_numbers():
     assert scan_noise.parts("一行目の\n- 3 -\n青森図書館年報\n続き。", title) == ("一行目の\n続き。", True, True)
 
 
+def test_cut_off_heads():
+    title = "白取岡図書館年報"
+    for line in ("白取岡図書", "白 取 岡 図 書", "【白取岡図書館】", "図書館年報", "第3章　白取岡図書"):
+        assert scan_noise.is_head(line, title)
+    assert scan_noise.is_head("霧取沢センサ一取扱説明", "霧取沢センサー取扱説明書")  # ー read as 一
+    assert not scan_noise.is_head("白取岡", title) and not scan_noise.is_head("白取野図書館", title) and not scan_noise.is_head("白取岡図書館の", title)
+    judge = scan_noise.Judge({}, ())
+    assert scan_noise.noise_of_paragraph("地区の\n9\n白取岡図書\nロボットを", title, judge) == (["running_head", "page_no"], "地区のロボットを")
+    assert scan_noise.noise_of_line("白取岡図書", title, 185.0, 12.0, "text", judge) == (["running_head"], "")
+    assert scan_noise.noise_of_line("白取岡図書", title, 185.0, 12.0, "table", judge)[0] == []
+
+
 def test_misread_words():
     wrong = {("m", "倉", "に", "康"): "庫"}
     judge = scan_noise.Judge(wrong, (("additional", 50), ("installation", 50), ("addrtional", 1)))
