@@ -3,11 +3,14 @@
 Kinds: 'hyphen' (a word cut by the end of a printed line), 'misread' (wrongly recognised characters), 'running_head' and
 'page_no' (printed page furniture, as a row of its own or as a line inside a paragraph).
 
-Misread characters: a lexicon with corpus frequencies is counted over all rows (Latin words, and for each character of
-a confusion pair its contexts of two neighbouring characters on either side). A symmetric-delete index over the lexicon
-gives correction candidates: Latin words within two deletions, and contexts that agree once the doubtful character is
-deleted. A weighted edit distance, cheap for confusion pairs, ranks the words; the frequency of the bigrams around the
-character decides between the members of a confusion pair.
+Misread characters: a lexicon with corpus frequencies is counted over all rows (Latin words, for each character of a
+confusion pair its contexts of two neighbouring characters on either side, and all pairs and triples of Han characters
+and kana). A symmetric-delete index over the lexicon gives correction candidates: Latin words within two deletions, and
+contexts that agree once the doubtful character is deleted. A weighted edit distance, cheap for confusion pairs, ranks
+the words; the frequency of the bigrams around the character decides between the members of a confusion pair. Any other
+character is misread if a triple with another one in its place is frequent and both its own bigrams are rare in the
+whole corpus and beside those of the other one, which must also fit the two characters before or after. A Latin word that
+is one plain error off a frequent word is misread too, unless it is longer or shorter at its end, as inflected words are.
 
 The lexicon that reaches the tasks holds what has at least ``SHARE`` of all counted words or contexts, which bounds its
 size by 1 / SHARE whatever the size of the corpus.
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,11 +128,48 @@ def contexts(text: str, at: int) -> list[tuple[str, str, str]]:
     return out
 
 
+def _letter(codes: np.ndarray) -> np.ndarray:
+    """Which code points are Han characters or kana."""
+    kana = (codes >= 0x3041) & (codes <= 0x3096) | (codes >= 0x30A1) & (codes <= 0x30FA) | (codes == 0x30FC)
+    return kana | (codes >= 0x3400) & (codes <= 0x9FFF) | (codes >= 0x20000) & (codes <= 0x3FFFF)
+
+
+def _runs(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``length`` letters packed into integers, 21 bits a letter, and how often each occurs."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter, m = _letter(codes), len(codes) - length + 1
+    if m <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.flatnonzero(np.logical_and.reduce([letter[k : m + k] for k in range(length)]))
+    packed = np.zeros(len(at), np.int64)
+    for k in range(length):
+        packed = packed << 21 | codes[at + k]
+    return np.unique(packed, return_counts=True)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at, np.concatenate([n for _, n in parts]))
+    return keys, total
+
+
+def _run_rows(kind: str, packed: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    at = lambda shift: [chr(c) for c in (packed >> shift & 0x1FFFFF).tolist()]
+    before, item, after = (at(42), at(21), at(0)) if kind == "t" else (at(21), at(0), [""] * len(packed))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in ([kind] * len(packed), before, after, item)), pa.array(n, pa.int64())], ["kind", "before", "after", "item", "n"])
+
+
 def count_lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind, before, after, item, n: contexts of watched characters ('m', 'b', 'a') and Latin words ('w'), over all rows."""
+    """kind, before, after, item, n over all rows.
+
+    Contexts of watched characters ('m', 'b', 'a'), Latin words ('w'), and of Han characters and kana the triples ('t')
+    and pairs ('p', ``before`` and ``item``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str, str, str]] = Counter()
+        letters: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"t": [], "p": []}
 
         def flush() -> pa.RecordBatch:
             keys = list(counts)
@@ -137,10 +178,12 @@ def count_lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
             return batch
 
         for batch in batches:
+            flats = []
             for text in batch.column(0).to_pylist():
                 if not text:
                     continue
                 flat = text.replace("\n", "")
+                flats.append(flat)
                 for m in _WATCH.finditer(flat):
                     c = m.group()
                     for kind, before, after in contexts(flat, m.start()):
@@ -149,8 +192,15 @@ def count_lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
                 for w in _WORD.findall(joined):
                     if len(w) > 3 and not any(x.isdigit() for x in w):
                         counts["w", "", "", w.lower()] += 1
+            for kind, length in (("t", 3), ("p", 2)):
+                letters[kind] = [_merged([*letters[kind], _runs(flats, length)])]
+                if len(letters[kind][0][0]) > 1_000_000:
+                    yield _run_rows(kind, *letters[kind].pop())
             if len(counts) > 200_000:
                 yield flush()
+        for kind, parts in letters.items():
+            for part in parts:
+                yield _run_rows(kind, *part)
         yield flush()
 
     rows = texts.select(text_col).mapInArrow(run, "kind string, before string, after string, item string, n bigint")
@@ -158,18 +208,50 @@ def count_lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def decide(lexicon: DataFrame, share: float = SHARE, ratio: float = RATIO) -> tuple[dict[tuple[str, str, str, str], str], dict[str, int]]:
-    """Contexts in which a character is misread, with the right one, and the frequent words. Both are bounded by 1 / share."""
+    """Contexts in which a character is misread, with the right one, and the frequent words.
+
+    Frequent contexts and words are bounded by 1 / share, those that fit by ratio / share. Kind 't' holds the decisions outside the confusion pairs, and
+    kind 'f' the two characters before or after that fit a right one of these.
+    """
     spark = lexicon.sparkSession
-    totals = {r.w: r.n for r in lexicon.groupBy((F.col("kind") == "w").alias("w")).agg(F.sum("n").alias("n")).collect()}  # two rows
-    least = max(4, totals.get(False, 0) * share)
+    totals = {r.kind: r.n for r in lexicon.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # six rows
+    least = max(4, sum(totals.get(k, 0) for k in "mba") * share)
     pairs = spark.createDataFrame([(w, r) for w, rights in WRONG.items() for r in rights], "item string, right string")
-    seen = lexicon.where("kind != 'w'")
+    seen = lexicon.where("kind in ('m', 'b', 'a')")
     good = seen.where(F.col("n") >= least).select("kind", "before", "after", F.col("item").alias("right"), F.col("n").alias("n_right"))
     bad = seen.join(pairs, "item").join(good, ["kind", "before", "after", "right"]).where(F.col("n_right") >= ratio * F.col("n"))
     wrong = {(r.kind, r.before, r.after, r.item): (r.n_right, r.right) for r in bad.orderBy("n_right", F.desc("right")).collect()}
-    least = max(3, totals.get(True, 0) * share)
+    others, fits = _decide_others(lexicon, max(4, totals.get("t", 0) * share), ratio)
+    least = max(3, totals.get("w", 0) * share)
     words = {r.item: r.n for r in lexicon.where((F.col("kind") == "w") & (F.col("n") >= least)).select("item", "n").collect()}
-    return {k: v[1] for k, v in wrong.items()}, words
+    return {k: v[1] for k, v in wrong.items()} | others | fits, words
+
+
+def _decide_others(lexicon: DataFrame, least: float, ratio: float) -> tuple[dict[tuple[str, str, str, str], str], dict[tuple[str, str, str, str], str]]:
+    """Decisions of kinds 't' and 'f' for characters outside the confusion pairs."""
+    triples = lexicon.where("kind = 't'").select("before", "item", "after", "n")
+    pairs = lexicon.where("kind = 'p'")
+    left = pairs.select("before", "item", F.col("n").alias("n_left"))
+    right = pairs.select(F.col("before").alias("item"), F.col("item").alias("after"), F.col("n").alias("n_after"))
+    rare = triples.join(left.where(F.col("n_left") < least), ["before", "item"]).join(right.where(F.col("n_after") < least), ["item", "after"])
+    good = triples.where(F.col("n") >= least).withColumnsRenamed({"item": "right", "n": "n_right"})
+    bad = (
+        rare.join(good, ["before", "after"]).where((F.col("n_right") >= ratio * F.col("n")) & (F.col("item") != F.col("right")))
+        .join(left.where(F.col("n_left") >= least).withColumnsRenamed({"item": "right", "n_left": "r_left"}), ["before", "right"])
+        .join(right.where(F.col("n_after") >= least).withColumnsRenamed({"item": "right", "n_after": "r_after"}), ["right", "after"])
+        .where((F.col("r_left") >= ratio * F.col("n_left")) & (F.col("r_after") >= ratio * F.col("n_after")))
+    )
+    best = bad.groupBy("before", "after", "item").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_right")).alias("n"), "right"))).alias("rights")).collect()
+    wrong = {("t", r.before, r.after, r.item): "".join(x.right for x in r.rights) for r in best}
+    rights = sorted(set("".join(wrong.values())))
+    fits = {}
+    if rights:
+        frequent = triples.where(F.col("n") >= max(4, least / ratio))
+        for r in frequent.where(F.col("after").isin(rights)).collect():
+            fits["f", r.before + r.item, "", r.after] = r.after
+        for r in frequent.where(F.col("before").isin(rights)).collect():
+            fits["f", "", r.item + r.after, r.before] = r.before
+    return wrong, fits
 
 
 class Lexicon:
@@ -188,6 +270,7 @@ class Lexicon:
             for d in self._deletes(w):
                 self.index.setdefault(d, []).append(w)
         self.edges = {w[:k] for w in self.words for k in range(2, len(w) + 1)} | {w[k:] for w in self.words for k in range(len(w) - 1)}
+        self.least = ratio * min(self.words.values(), default=0)
         self.known: dict[str, str | None] = {}
 
     @staticmethod
@@ -208,10 +291,19 @@ class Lexicon:
         if key not in self.known:
             best = self._confused(w, edge)
             if best is None and len(w) > 4 and len(self.known) < 1_000_000:
-                best = self._best(w, 0.9)
+                best = self._best(w, 0.9) or self._plain(w)
             self.known[key] = best
         return self.known[key]
 
+    def _plain(self, w: str) -> str | None:
+        """The far more frequent word that ``w`` misses by one plain error; ends that differ in length are inflections."""
+        best = self._best(w, 1.0) if len(w) > 5 else None
+        if best is None or self.words[best] < self.least:
+            return None
+        if len(w) == len(best):
+            return best
+        return None if w.startswith(best) or best.startswith(w) or any(x.isdigit() for x in w) else best
+
     def _confused(self, w: str, edge: bool) -> str | None:
         pool = self.edges if edge else self.words
         if "rn" in w:
@@ -259,6 +351,8 @@ class Judge:
 
     def __init__(self, wrong: dict[tuple[str, str, str, str], str], words: tuple[tuple[str, int], ...]):
         self.wrong, self.lexicon = wrong, _lexicon(words)
+        others = {item for kind, _, _, item in wrong if kind == "t"}
+        self.others = re.compile(f"[{''.join(map(re.escape, sorted(others)))}]") if others else None
 
     def repairs(self, text: str, cut_edges: bool) -> list[tuple[int, int, str]]:
         """(start, end, right text) of each misread place. ``cut_edges``: the first and last word may go on elsewhere."""
@@ -271,6 +365,9 @@ class Judge:
                 if right := self.wrong.get((kind, before, after, c)):
                     out.append((m.start(), m.end(), right))
                     break
+        if self.others:
+            done = {start for start, _, _ in out}
+            out += [(m.start(), m.end(), right) for m in self.others.finditer(text) if m.start() not in done and (right := self._other(text, m.start()))]
         for m in _WORD.finditer(text):
             w = m.group()
             if len(w) < 3 or (m.start() and (text[m.start() - 1].isdigit() or text[m.start() - 1] == "-")):
@@ -292,6 +389,16 @@ class Judge:
             out.append((m.start(), m.end(), w.translate(str.maketrans("IlOoBSZ〇", "11008520"))))
         return sorted(out)
 
+    def _other(self, text: str, at: int) -> str | None:
+        """The right character, outside the confusion pairs; the more of the two characters before and after it fits the better, one at least if there are such."""
+        rights = self.wrong.get(("t", text[at - 1 : at], text[at + 1 : at + 2], text[at]))
+        if not rights:
+            return None
+        before, after = text[max(0, at - 2) : at], text[at + 1 : at + 3]
+        alone = not (len(before) == 2 and before.isalnum() or len(after) == 2 and after.isalnum())
+        fit = [(("f", before, "", r) in self.wrong) + (("f", "", after, r) in self.wrong) for r in rights]
+        return rights[fit.index(max(fit))] if alone or max(fit) else None
+
 
 def apply_repairs(text: str, repairs: list[tuple[int, int, str]]) -> str:
     out, at = [], 0

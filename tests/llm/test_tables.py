@@ -130,6 +130,17 @@ def test_noise_of_tables(spark):
     assert scan_noise.decide(scan_noise.count_lexicon(df.limit(0))) == ({}, {})
 
 
+def test_misread_characters_outside_the_confusion_pairs(spark):
+    texts = ["逆浸透膜の測定結果を水門の台帳に記す。"] * 60 + ["逆浸透膜の固定方法を示す。"] * 90 + ["質問に答える。"] * 60
+    bad = ["逆浸透膜の側定結果を示す。", "新しい水問の台帳に記す。"]
+    rows = list(enumerate([*texts, *bad, "水問", "質問の台帳"]))
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("title", F.lit("題"))
+    out = {r.row_id: (r.kinds, r.repaired) for r in scan_noise.find_noise(df, scan_noise.decide(scan_noise.count_lexicon(df)), "id", True).collect()}
+    n = len(texts)
+    assert out[n] == (["misread"], "逆浸透膜の測定結果を示す。") and out[n + 1] == (["misread"], "新しい水門の台帳に記す。")
+    assert out[n + 2][0] == [] and out[n + 3][0] == [] and all(out[i] == ([], t) for i, t in rows[:n])
+
+
 def test_held_out_reading_levels(spark):
     samples = reading_level.collect_samples(spark.read.parquet(f"{BASE}/graded_samples.parquet"))
     random.Random(1).shuffle(samples)

@@ -135,6 +135,12 @@ def test_misread_words():
     assert scan_noise.noise_of_line("12", None, 800.0, 9.0, "table", judge)[0] == [] and scan_noise.noise_of_line("12", None, 800.0, 9.0, "text", judge)[0] == ["page_no"]
 
 
+def test_plain_errors_in_words():
+    lexicon = scan_noise.Lexicon({"inspection": 900, "valve": 800, "generator": 700, "complete": 3})
+    assert lexicon.correction("inspextion", False) == "inspection" and lexicon.correction("insp3ction", False) == "inspection" and lexicon.correction("genertor", False) == "generator"
+    assert lexicon.correction("inspections", False) is None and lexicon.correction("valves", False) is None and lexicon.correction("compléte", False) is None
+
+
 def test_sentences_are_linked_anywhere():
     import numpy as np
 
