@@ -272,6 +272,7 @@ class Lexicon:
         self.edges = {w[:k] for w in self.words for k in range(2, len(w) + 1)} | {w[k:] for w in self.words for k in range(len(w) - 1)}
         self.least = ratio * min(self.words.values(), default=0)
         self.known: dict[str, str | None] = {}
+        self.most_known = 1_000_000  # bounds the memory alone
 
     @staticmethod
     def _deletes(w: str) -> set[str]:
@@ -288,12 +289,14 @@ class Lexicon:
         if w in self.words or edge and w in self.edges:
             return None
         key = f"{w}|" if edge else w
-        if key not in self.known:
-            best = self._confused(w, edge)
-            if best is None and len(w) > 4 and len(self.known) < 1_000_000:
-                best = self._best(w, 0.9) or self._plain(w)
+        if key in self.known:
+            return self.known[key]
+        best = self._confused(w, edge)
+        if best is None and len(w) > 4:
+            best = self._best(w, 0.9) or self._plain(w)
+        if len(self.known) < self.most_known:
             self.known[key] = best
-        return self.known[key]
+        return best
 
     def _plain(self, w: str) -> str | None:
         """The far more frequent word that ``w`` misses by one plain error; ends that differ in length are inflections."""

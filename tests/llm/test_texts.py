@@ -135,6 +135,16 @@ def test_misread_words():
     assert scan_noise.noise_of_line("12", None, 800.0, 9.0, "table", judge)[0] == [] and scan_noise.noise_of_line("12", None, 800.0, 9.0, "text", judge)[0] == ["page_no"]
 
 
+def test_words_are_searched_when_the_cache_is_full():
+    class Full(dict):
+        def __len__(self):
+            return 1_000_000
+
+    lexicon = scan_noise.Lexicon({"inspection": 900})
+    lexicon.known = Full()
+    assert lexicon.correction("inspeetion", False) == "inspection" and not list(lexicon.known)
+
+
 def test_plain_errors_in_words():
     lexicon = scan_noise.Lexicon({"inspection": 900, "valve": 800, "generator": 700, "complete": 3})
     assert lexicon.correction("inspextion", False) == "inspection" and lexicon.correction("insp3ction", False) == "inspection" and lexicon.correction("genertor", False) == "generator"
