@@ -134,7 +134,7 @@ class Rewriter:
         self.screen = re.compile("[" + "".join(map(re.escape, sorted({*singles, *marks}))) + "]")
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or text.isascii() or not self.screen.search(text):
+        if not text or not self.screen.search(text):
             return text
         out = self._once(text)
         # removing what is invisible may bring a letter and its mark together

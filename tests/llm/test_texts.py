@@ -81,6 +81,11 @@ def test_look_alikes():
     assert rewrite("е" * 10_000) == "e" * 10_000
 
 
+def test_look_alikes_of_ascii_texts():
+    rewrite = lookalike.Rewriter(lookalike.rewrite_table({"(": 5, "（": 16, ")": 5, "）": 16, "A": 3}))
+    assert rewrite("A(1)") == rewrite("A（1)") == rewrite("Ａ（１）") == "A（1）"
+
+
 VOCAB = encoding.DEFAULT_VOCAB
 needs_vocab = pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary here")
 
