@@ -28,11 +28,16 @@ def translated_pages(spark: SparkSession, base: str) -> DataFrame:
     return latest.where("status = 'translated'").select("doc_id", "page_num")
 
 
-def _defects(spark: SparkSession, base: str) -> DataFrame:
+def _prompts_and_answers(spark: SparkSession, base: str) -> DataFrame:
+    """Sources and translations of both tables: prompt, answer, src_table, row_id, doc_id, page_num."""
     cache, paras = table(spark, base, "translation_cache"), table(spark, base, "ocr_paragraphs")
     of_cache = cache.select(F.col("source_text").alias("prompt"), F.col("translated_text").alias("answer"), F.lit("translation_cache").alias("src_table"), F.col("cache_id").alias("row_id"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_num"))
     of_paras = paras.select(F.col("text").alias("prompt"), F.col("translated_text").alias("answer"), F.lit("ocr_paragraphs").alias("src_table"), F.col("id").alias("row_id"), "doc_id", "page_num")
-    both = of_cache.unionAll(of_paras)
+    return of_cache.unionAll(of_paras)
+
+
+def _defects(spark: SparkSession, base: str) -> DataFrame:
+    both = _prompts_and_answers(spark, base)
     labels = formatting_copies.learn_labels(both, "prompt")
     endings = pairs.learn_endings(both)
     return pairs.find_defects(both, labels, endings, ["src_table", "row_id", "doc_id", "page_num"])
@@ -65,14 +70,18 @@ def p2_records(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
-    """Sentences that translate each other: para_id, ja_sent, zh_sent. The pages are joined to the links alone."""
+    """Sentences that translate each other: para_id, ja_sent, zh_sent. The pages are joined to the links alone.
+
+    The table is estimated over all translated paragraphs, also those whose sentences are not asked for.
+    """
     rows = table(spark, base, "ocr_paragraphs").select("id", "doc_id", "page_num", F.col("text").alias("source"), F.col("translated_text").alias("target"))
-    rows = rows.where((F.length("source") <= 700) & F.col("source").rlike("[。．！？]") & F.col("target").rlike("[\\u3400-\\u9fff]"))
+    rows = rows.where(F.col("target").rlike("[\\u3400-\\u9fff]"))
     encoded = cut(alignment.encode_units(rows))
     source, target, info = alignment.unit_frequency(encoded)
     counts = alignment.learn_table(encoded, source, target)
-    defects = rows.select(F.col("source").alias("prompt"), F.col("target").alias("answer"))
-    labels, endings = formatting_copies.learn_labels(defects, "prompt"), pairs.learn_endings(defects)
+    rows = rows.where((F.length("source") <= 700) & F.col("source").rlike("[。．！？]"))
+    both = _prompts_and_answers(spark, base)
+    labels, endings = formatting_copies.learn_labels(both, "prompt"), pairs.learn_endings(both)
     names = "|".join(re.escape(w) for w in labels)
     label_pattern = re.compile(f"(?:{names}){pairs.SEPARATOR}") if names else None
 

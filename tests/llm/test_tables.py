@@ -121,6 +121,16 @@ def test_alignment_of_tables(spark):
     assert alignment.unit_frequency(none) == ([], [], {}) and alignment.learn_table(none, [], []).shape == (0, 0)
 
 
+def test_all_translated_paragraphs_enter_the_statistics(spark, monkeypatch):
+    seen = {}
+    encode, learn = alignment.encode_units, pairs.learn_endings
+    monkeypatch.setattr(alignment, "encode_units", lambda df: seen.update(rows=df.count()) or encode(df))
+    monkeypatch.setattr(pairs, "learn_endings", lambda df: seen.update(pairs=df.count()) or learn(df))
+    queries.p3_found(spark, BASE)
+    paras, cache = (spark.read.parquet(f"{BASE}/{t}.parquet") for t in ("ocr_paragraphs", "translation_cache"))
+    assert seen == {"rows": paras.where(F.col("translated_text").rlike("[\\u3400-\\u9fff]")).count(), "pairs": paras.count() + cache.count()}
+
+
 def test_noise_of_tables(spark):
     rows = [(i, "交換部品は倉庫に登録された。") for i in range(60)] + [(100, "交換部品は倉康に登録された。"), (101, None), (102, "")]
     df = spark.createDataFrame(rows, "id bigint, text string").withColumns({"title": F.lit("題"), "kinds": F.lit(1)})
