@@ -125,7 +125,7 @@ def is_copy(prompt: str, answer: str) -> bool:
         share = containment(grams, "".join(_CJK.findall(given)))
         if share >= COPY_SHARE:
             return True
-        return share >= COPY_SHARE / 2 and len(source) <= 4000 and lcs_length(source, given) >= LCS_SHARE * len(source)
+        return share >= COPY_SHARE / 2 and lcs_length(source, given) >= LCS_SHARE * len(source)
     if not _HAN.search(prompt):
         return False
     source, given = flat(prompt), flat(answer)

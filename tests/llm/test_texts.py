@@ -38,6 +38,13 @@ def test_very_long_pair():
     assert pairs.classify(text, text, LABELS, ENDS) == "copy"
 
 
+def test_long_copies_by_common_subsequence():
+    text = "".join(chr(0x3042 + k * 7 % 80) + chr(0x4E00 + k) for k in range(2500))
+    answer = "".join(c for k, c in enumerate(text) if k % 7)  # 6 of 7 characters in order, 4 of 7 shingles
+    for size in (1000, 5000):
+        assert pairs.is_copy(text[:size], answer[: size * 6 // 7])
+
+
 @given(st.text("abc", max_size=20), st.text("abc", max_size=20))
 def test_lcs(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
