@@ -48,7 +48,7 @@ _HAN = re.compile(f"[{HAN}]")
 _CJK = re.compile(f"[{KANA}{HAN}]")
 _NO_SHAPE = re.compile(r"[\s\u00ad\u200b-\u200f\u2028-\u202f\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 _MARKS = re.compile(r"[\W_]+")
-_QUOTED = re.compile(r"[“「『\"][^”」』\"]{0,400}[”」』\"]")
+_QUOTED = re.compile(r"[“「『\"][^”」』\"]*[”」』\"]")
 _MAY_REFUSE = re.compile(r"翻译|译文|帮不上|不便处理|请求|协助|translat|request|decline|assist|able to|翻訳|お答え|お断り|お手伝い|かねます", re.I)
 _OTHER = re.compile(r"[\u0370-\u052f\u0590-\u06ff\u0900-\u0e7f\u1100-\u11ff\uac00-\ud7a3]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]+")
@@ -104,13 +104,13 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
+    """Whether a template stands near the start or the end of the answer, however long the rest is."""
     if not _MAY_REFUSE.search(answer):
         return False
     bare = flat(_QUOTED.sub("", answer))
-    if len(bare) > 400:
-        return False
     for template, grams in _TEMPLATES:
-        if len(bare) <= 60 + 4 * len(template) and containment(grams, bare) >= REFUSAL_SHARE:
+        most = 60 + 4 * len(template)
+        if any(containment(grams, end) >= REFUSAL_SHARE for end in {bare[:most], bare[-most:]}):
             return True
     return False
 

@@ -38,6 +38,13 @@ def test_very_long_pair():
     assert pairs.classify(text, text, LABELS, ENDS) == "copy"
 
 
+def test_long_refusals():
+    source, reason = "本件の番号は1である。次の番号も記す。" * 30, "原文涉及的资料缺失较多，文字模糊难以辨认。" * 40
+    for answer in (f"抱歉，我无法翻译这段内容。{reason}", f"{source}抱歉，我无法翻译这段内容。", f"I cannot translate this. {source}", f"抱歉，我无法翻译“{source}”这一句。"):
+        assert pairs.classify(source, answer, LABELS, ENDS) == "refusal"
+    assert not pairs.is_refusal(f"{reason}他们说明无法翻译这段内容的原因。{reason}")
+
+
 def test_long_copies_by_common_subsequence():
     text = "".join(chr(0x3042 + k * 7 % 80) + chr(0x4E00 + k) for k in range(2500))
     answer = "".join(c for k, c in enumerate(text) if k % 7)  # 6 of 7 characters in order, 4 of 7 shingles
