@@ -165,18 +165,21 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.fill_containers(encoding.count_tokens(docs), capacity, n_items=docs.count())
 
 
+def _reading_levels(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents")
+    familiar = reading_level.familiar_words(docs)
+    formula = reading_level.fit_formula(reading_level.collect_samples(table(spark, base, "graded_samples")), familiar)
+    return reading_level.profile(docs, familiar, formula)
+
+
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
     """Reading level of every document of running prose: doc_id, reading_level."""
-    model = reading_level.train(reading_level.collect_samples(table(spark, base, "graded_samples")))
-    return reading_level.grade(table(spark, base, "documents"), model)
+    return _reading_levels(spark, base).select("doc_id", "reading_level")
 
 
 def p9_profile(spark: SparkSession, base: str) -> DataFrame:
     """The familiar-word formula's terms and level of every document of running prose."""
-    docs = table(spark, base, "documents")
-    familiar = reading_level.familiar_words(docs)
-    weights = reading_level.fit_formula(reading_level.collect_samples(table(spark, base, "graded_samples")), familiar)
-    return reading_level.profile(docs, familiar, weights)
+    return _reading_levels(spark, base)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

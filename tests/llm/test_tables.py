@@ -153,14 +153,41 @@ def test_misread_characters_outside_the_confusion_pairs(spark):
 
 def test_held_out_reading_levels(spark):
     samples = reading_level.collect_samples(spark.read.parquet(f"{BASE}/graded_samples.parquet"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    familiar = reading_level.familiar_words(docs)
     random.Random(1).shuffle(samples)
     right = 0
     for k in range(5):
-        model = reading_level.train([s for i, s in enumerate(samples) if i % 5 != k])
-        right += sum(reading_level.grade_text(t, model) == level for t, level in samples[k::5])
-    assert right / len(samples) > 0.97
+        formula = reading_level.fit_formula([s for i, s in enumerate(samples) if i % 5 != k], familiar)
+        held = samples[k::5]
+        got = reading_level.grade_texts([t for t, _ in held], familiar, formula)
+        right += sum(got.get(i, (0,))[0] == level for i, (_, level) in enumerate(held))
+    assert right / len(samples) > 0.9
+    clashing = docs.limit(20).withColumns({"lang": F.lit(1), "n": F.lit(2), "reading_level": F.lit(9), "size": F.lit("x")})
+    assert reading_level.profile(clashing.union(clashing), familiar, formula).groupBy("doc_id").count().where("count != 2").count() == 0
     empty = spark.createDataFrame([], "doc_id bigint, text string")
-    assert reading_level.grade(empty, reading_level.train(samples)).count() == 0 and reading_level.familiar_words(empty) == {}
+    none = reading_level.familiar_words(empty)
+    assert reading_level.profile(empty, familiar, formula).count() == 0 and none == reading_level.Familiar({}, {}, {})
+    assert reading_level.profile(docs, none, {}).count() == 0
+
+
+def test_familiar_words_equal_a_plain_count(spark):
+    rnd = random.Random(3)
+    texts = [rnd.choice("ねこ山川") + "".join(rnd.choice("ねこいぬ山川。") for _ in range(rnd.randint(1, 9))) for _ in range(30)] + ["the cat sat", "the dog", None, " "]
+    got = reading_level.familiar_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), shares=(0.2, 0.5))
+    kept = [t for t in texts if t and t.strip()]
+    for lang in ("ja", "zh"):
+        own = [t for t in kept if reading_level.language(t) == lang]
+        for found, n in ((got.chars, 1), (got.pairs, 2)):
+            count = {}
+            for t in own:
+                for w in {t[i : i + n] for i in range(len(t) - n + 1) if "。" not in t[i : i + n]}:
+                    count[w] = count.get(w, 0) + 1
+            expected = {w: sum(c >= q * len(own) for q in (0.2, 0.5)) for w, c in count.items() if c >= 0.2 * len(own)}
+            items, levels = found.get(lang, ([], []))
+            word = lambda x: chr(x) if n == 1 else chr(x >> 21) + chr(x & 0x1FFFFF)
+            assert {word(int(x)): int(k) for x, k in zip(items, levels)} == expected
+    assert got.words == {"the": 2, "cat": 2, "sat": 2, "dog": 2}
 
 
 def test_every_query_runs(spark):

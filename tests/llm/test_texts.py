@@ -186,7 +186,22 @@ def test_sentences_are_linked_anywhere():
 def test_reading_levels():
     assert not reading_level.is_prose(None) and not reading_level.is_prose(" \n") and not reading_level.is_prose("1.2\t3.4\n5.6\t7.8") and not reading_level.is_prose("品名：ポンプ；型番：AB-1\n品名：水門；型番：AB-2") and not reading_level.is_prose("= = = =")
     assert reading_level.is_prose("The pump is checked every day. It was 3 °C.")
-    model = reading_level.train([("ねこがいます。いぬがいます。", 1), ("応力の解析を行う。", 4), ("The cat is here.", 1), ("Stress analysis is performed.", 4)])
-    assert reading_level.grade_text("ねこがいました。応力の解析。ねこがいます。", model) == 1
-    assert reading_level.grade_text("Stress analysis is hard.", model) == 4
-    assert reading_level.grade_text("12345", model) is None
+    easy, hard = ["The cat sat on the mat.", "The dog ran to the cat.", "A dog is on the mat."], ["Stress analysis requires the constitutive equation of the material.", "Boundary separation depends on turbulent diffusion of the layer.", "Uncertainty evaluation governs the design margin severely."]
+    familiar = reading_level.Familiar({}, {}, {w: 11 for w in "the a cat dog on to is of sat ran mat".split()})
+    formula = reading_level.fit_formula([(t, 1) for t in easy] + [(t, 4) for t in hard], familiar)
+    grade = lambda t: {k: v[0] for k, v in reading_level.grade_texts([t], familiar, formula).items()}
+    assert grade("The cat is on the dog.") == {0: 1} and grade("Material separation governs severely the constitutive evaluation.") == {0: 4}
+    assert grade("The cat sat. Material separation governs the evaluation. The dog ran to the cat.") == {0: 1}
+    assert grade(None) == {} and grade("") == {} and grade("12345") == {} and grade("猫がいます。犬もいます。") == {}
+    assert grade("The dog ran to the cat. " * 40_000) == {0: 1}
+    assert reading_level.fit_formula([], familiar) == {} and reading_level.fit_formula([(t, 1) for t in easy], familiar) == {}
+
+
+def test_terms_of_the_formula():
+    import numpy as np
+
+    familiar = reading_level.Familiar({"ja": (np.array(sorted(map(ord, "ねこ")), np.int64), np.array([11, 11]))}, {"ja": (np.array([ord("ね") << 21 | ord("こ")]), np.array([3]))}, {})
+    s = reading_level._sentences(["ねこねこと。", "x"])
+    (at, x) = reading_level.sentence_terms(s, familiar, np.array([0]))["ja"]
+    n = len(reading_level.FAMILIAR_SHARES)
+    assert at.tolist() == [0] and np.allclose(x[0, :n], 0.2) and np.allclose(x[0, n : 2 * n], [0.5] * 3 + [1.0] * (n - 3)) and np.isclose(x[0, -1], np.log(5))
