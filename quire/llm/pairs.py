@@ -39,6 +39,8 @@ REFUSALS = (
     "この文章は翻訳できません", "翻訳を提供することができかねます", "ご依頼の内容にはお答えできません", "その処理はお断りいたします", "翻訳することはできません", "お手伝いできません",
 )
 REFUSAL_SHARE, COPY_SHARE, LCS_SHARE = 0.8, 0.6, 0.85
+#: Letters that a label may add to a copied prompt however short it is; a longer prompt may be added to in proportion.
+ADDITION = 24
 #: Share of all field ends that an ending needs to count as one.
 ENDING_SHARE = 1e-5
 
@@ -48,8 +50,8 @@ _HAN = re.compile(f"[{HAN}]")
 _CJK = re.compile(f"[{KANA}{HAN}]")
 _NO_SHAPE = re.compile(r"[\s\u00ad\u200b-\u200f\u2028-\u202f\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 _MARKS = re.compile(r"[\W_]+")
+_LETTER = re.compile(r"[^\W_]")
 _QUOTED = re.compile(r"[“「『\"][^”」』\"]*[”」』\"]")
-_MAY_REFUSE = re.compile(r"翻译|译文|帮不上|不便处理|请求|协助|translat|request|decline|assist|able to|翻訳|お答え|お断り|お手伝い|かねます", re.I)
 _OTHER = re.compile(r"[\u0370-\u052f\u0590-\u06ff\u0900-\u0e7f\u1100-\u11ff\uac00-\ud7a3]")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ]+")
 _TAIL = "。．！？!?.…"
@@ -89,6 +91,17 @@ def flat(text: str) -> str:
 
 
 _TEMPLATES = [(flat(t), shingles(flat(t), 3 if t.isascii() else 2)) for t in REFUSALS]
+_REACH = max(60 + 4 * len(t) for t, _ in _TEMPLATES)
+
+
+def _needed(grams: set[str], seen: Counter[str]) -> set[str]:
+    """Shingles of which an answer that contains ``REFUSAL_SHARE`` of all must hold one; those of fewest templates."""
+    missing = int(len(grams) * (1 - REFUSAL_SHARE) + 1e-9)
+    return set(sorted(grams, key=lambda g: (seen[g], g))[: missing + 1])
+
+
+_SEEN = Counter(g for _, grams in _TEMPLATES for g in grams)
+_MAY_REFUSE = re.compile("|".join(sorted(map(re.escape, set().union(*(_needed(grams, _SEEN) for _, grams in _TEMPLATES))))))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -97,17 +110,16 @@ def is_empty(answer: str | None) -> bool:
     bare = _NO_SHAPE.sub("", answer)
     if not bare:
         return True
-    if len(bare) > 24:
-        return False
     word = bare.strip("()（）[]【】「」『』\"'“”<>〈〉-—–_.…。·*").lower()
-    return not _MARKS.sub("", word) or word in PLACEHOLDERS
+    return word in PLACEHOLDERS or not _LETTER.search(word)
 
 
 def is_refusal(answer: str) -> bool:
     """Whether a template stands near the start or the end of the answer, however long the rest is."""
-    if not _MAY_REFUSE.search(answer):
-        return False
     bare = flat(_QUOTED.sub("", answer))
+    ends = {bare[:_REACH], bare[-_REACH:]}
+    if not any(_MAY_REFUSE.search(end) for end in ends):  # no template can be contained
+        return False
     for template, grams in _TEMPLATES:
         most = 60 + 4 * len(template)
         if any(containment(grams, end) >= REFUSAL_SHARE for end in {bare[:most], bare[-most:]}):
@@ -129,7 +141,7 @@ def is_copy(prompt: str, answer: str) -> bool:
     if not _HAN.search(prompt):
         return False
     source, given = flat(prompt), flat(answer)
-    if source not in given or len(given) > len(source) + 24:
+    if source not in given or len(given) - len(source) > max(ADDITION, (1 - COPY_SHARE) / COPY_SHARE * len(source)):
         return False
     try:
         "".join(_HAN.findall(prompt)).encode("gb2312")

@@ -1,8 +1,8 @@
 """Problem 5: cut oversized texts at natural boundaries, with an overlap.
 
 ``natural_boundaries`` finds the places where a sentence or a list item ends. ``split_text`` computes the least number
-of pieces, places equally spaced targets, snaps each to the strongest boundary near it and takes a further piece when
-a target has no natural boundary in reach or a limit would fail.
+of pieces, places equally spaced targets, snaps each to the strongest boundary near it and takes further pieces when a
+limit would fail or as long as more cuts than need be miss a natural boundary.
 
 Results for the special cases: null and empty texts and texts within the limit give one piece (null and empty: none)
 and no boundaries; a text without any boundary is cut at clause marks, else anywhere; repeated rows are split each.
@@ -11,6 +11,7 @@ Consecutive pieces share exactly ``overlap`` code points; no piece is longer tha
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 CLOSERS = "」』）〕”】》)]"
 OPENERS = {"」": "「", "』": "『", "）": "（", "〕": "〔", "”": "“", "】": "【", "》": "《", ")": "(", "]": "["}
+_BRACKETS = re.compile("[" + re.escape("".join([*OPENERS, *OPENERS.values()])) + "]")
 BLANK = " \t\r\n　 "
 TERMINAL = re.compile(r"[。．！？!?…]+|\.+")
 ITEM = re.compile(r"[ \t　]*(?:[(（][0-9０-９a-zA-Z]{1,3}[)）]|[0-9０-９]{1,3}[.)．）](?=[ \t　])|[①-⑳]|[・•‣◦●○■□◆◇※]|[-–−*](?=[ \t　]))[ \t　]*\S")
@@ -32,18 +34,21 @@ LINE, SENTENCE, CLAUSE, ANY = 3, 2, 1, 0
 
 
 def _partners(text: str) -> dict[int, int]:
-    """Position of each closing mark to that of its opening mark, for marks that are properly paired."""
+    """Position of each closing mark to that of its opening mark; a mark closes the last open one of its kind and drops those inside it."""
     stack: list[tuple[str, int]] = []
+    depths: dict[str, list[int]] = {ch: [] for ch in OPENERS.values()}
     pairs: dict[int, int] = {}
-    for i, ch in enumerate(text):
-        if ch in "「『（〔“【《([":
+    for m in _BRACKETS.finditer(text):
+        ch, i = m.group(), m.start()
+        if ch in depths:
+            depths[ch].append(len(stack))
             stack.append((ch, i))
-        elif ch in OPENERS:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                if stack[k][0] == OPENERS[ch]:
-                    pairs[i] = stack[k][1]
-                    del stack[k:]
-                    break
+        elif depths[OPENERS[ch]]:
+            k = depths[OPENERS[ch]][-1]
+            pairs[i] = stack[k][1]
+            for inner, _ in stack[k:]:
+                depths[inner].pop()
+            del stack[k:]
     return pairs
 
 
@@ -110,11 +115,12 @@ def cut_points(text: str, boundaries: list[int]) -> dict[int, int]:
     return cuts
 
 
-def _place(length: int, count: int, max_size: int, overlap: int, cuts: dict[int, int], ordered: list[int]) -> list[int] | None:
-    """Cut positions for ``count`` pieces, or None if a target has no natural boundary in reach."""
-    import bisect
+def _place(length: int, count: int, max_size: int, overlap: int, cuts: dict[int, int], natural: list[int], clauses: list[int]) -> tuple[list[int], int] | None:
+    """Cut positions for ``count`` pieces and how many of them are no natural boundary, or None if a limit fails.
 
-    step, ends = (length - overlap) / count, [0]
+    Every target is snapped to the strongest boundary in reach: a natural one, else a clause mark, else the target itself.
+    """
+    step, ends, weak = (length - overlap) / count, [0], 0
     for j in range(1, count):
         target = overlap + j * step
         first = max(ends[-1] + 1, length - (count - j) * (max_size - overlap), overlap + 1)
@@ -122,11 +128,25 @@ def _place(length: int, count: int, max_size: int, overlap: int, cuts: dict[int,
         first = max(first, int(target - step / 2))
         if first > last:
             return None
-        near = ordered[bisect.bisect_left(ordered, first) : bisect.bisect_right(ordered, last)]
+        near = natural[bisect.bisect_left(natural, first) : bisect.bisect_right(natural, last)]
         if not near:
-            return None
-        ends.append(max(near, key=lambda p: (cuts[p], -abs(p - target), -p)))
-    return ends[1:]
+            weak += 1
+            near = clauses[bisect.bisect_left(clauses, first) : bisect.bisect_right(clauses, last)] or [min(max(first, int(target)), last)]
+        ends.append(max(near, key=lambda p: (cuts.get(p, ANY), -abs(p - target), -p)))
+    return ends[1:], weak
+
+
+def _fewest_weak(length: int, max_size: int, overlap: int, natural: list[int]) -> int:
+    """Cuts that no choice of natural boundaries can avoid: the walk to the last boundary in reach fails there."""
+    weak = done = 0
+    while length - (done - overlap if done else 0) > max_size:
+        last = (done - overlap if done else 0) + max_size
+        k = bisect.bisect_right(natural, last)
+        if k and natural[k - 1] > max(done, overlap):
+            done = natural[k - 1]
+        else:
+            done, weak = last, weak + 1
+    return weak
 
 
 def split_text(text: str | None, max_size: int, overlap: int, boundaries: list[int] | None = None) -> list[tuple[int, int]]:
@@ -143,22 +163,16 @@ def split_text(text: str | None, max_size: int, overlap: int, boundaries: list[i
     natural = sorted(p for p, s in cuts.items() if s >= SENTENCE and p < length)
     clauses = sorted(p for p in cuts if p < length)
     least = -(-(length - overlap) // (max_size - overlap))
-    ends = None
-    for count in range(least, least + max(3, least // 2)):
-        ends = _place(length, count, max_size, overlap, cuts, natural)
-        if ends is not None:
-            break
-    if ends is None:
-        # no count puts every cut on a natural boundary: walk with the strongest cut in reach, pieces are added as needed
-        import bisect
-
-        ends, done = [], 0
-        while length - (done - overlap if done else 0) > max_size:
-            last = (done - overlap if done else 0) + max_size
-            first = max(done + 1, overlap + 1, last - (max_size - overlap) // 2)
-            reach = natural[bisect.bisect_left(natural, first) : bisect.bisect_right(natural, last)] or clauses[bisect.bisect_left(clauses, first) : bisect.bisect_right(clauses, last)]
-            done = max(reach, key=lambda p: (cuts[p], p)) if reach else last
-            ends.append(done)
+    fewest = _fewest_weak(length, max_size, overlap, natural)
+    best: tuple[int, list[int]] | None = None
+    # with twice the least number of pieces every target is within the limits
+    for count in range(least, 2 * least + 3):
+        placed = _place(length, count, max_size, overlap, cuts, natural, clauses)
+        if placed is not None and (best is None or placed[1] < best[0]):
+            best = placed[1], placed[0]
+            if best[0] <= fewest:
+                break
+    ends = best[1] if best else list(range(max_size, length, max_size - overlap))
     edges = [*ends, length]
     return [(0 if k == 0 else edges[k - 1] - overlap, e) for k, e in enumerate(edges)]
 

@@ -205,3 +205,32 @@ def test_terms_of_the_formula():
     (at, x) = reading_level.sentence_terms(s, familiar, np.array([0]))["ja"]
     n = len(reading_level.FAMILIAR_SHARES)
     assert at.tolist() == [0] and np.allclose(x[0, :n], 0.2) and np.allclose(x[0, n : 2 * n], [0.5] * 3 + [1.0] * (n - 3)) and np.isclose(x[0, -1], np.log(5))
+
+
+def test_defects_do_not_depend_on_length():
+    for size in (300, 3000, 6000, 50_000):
+        text = ("".join(chr(0x3042 + k * 7 % 80) + chr(0x4E00 + k * 13 % 5000) for k in range(size)))[:size]
+        spoilt = "".join(c + "中" * (k % 3 == 2) for k, c in enumerate(text))
+        assert pairs.is_copy(text, spoilt)
+        assert pairs.classify(text + "。", "抱歉，我无法翻译这段内容。" + "原文涉及的资料缺失较多。" * (size // 12), LABELS, ENDS) == "refusal"
+        assert pairs.is_empty("（" + "—" * size + "）") and pairs.classify("図書館" * size, "译文：" + "図書館" * size + "（备注：照录）" * (size // 300), LABELS, ENDS) == "copy"
+
+
+def test_every_template_passes_its_own_screen():
+    for t in pairs.REFUSALS:
+        grams = sorted(pairs.shingles(pairs.flat(t), 3 if t.isascii() else 2))
+        for drop in range(len(grams)):
+            left = grams[:drop] + grams[drop + int(len(grams) * 0.2) :]
+            assert pairs._MAY_REFUSE.search("|".join(left))
+
+
+def test_deep_brackets():
+    text = "「" + "（" * 30 + "一。" + "）" * 30 + "」である。次。"
+    assert splitting.natural_boundaries(text) == [len(text) - 2]
+
+
+def test_gap_without_boundaries():
+    text = "文である。" * 20 + "x" * 300 + "文である。" * 20
+    pieces = splitting.split_text(text, 60, 5)
+    weak = [e for _, e in pieces[:-1] if text[e - 1] != "。"]
+    assert all(e - s <= 60 for s, e in pieces) and 100 < min(weak) and max(weak) < 400 and len(weak) <= 6
