@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import simple
 from ..session import cut
 from ..sources.tables import table
-from . import alignment, encoding, formatting_copies, lookalike, packing, pairs, reading_level, scan_noise, splitting
+from . import alignment, encoding, formatting_copies, lookalike, misreads, packing, pairs, reading_level, scan_noise, splitting
 
 
 def _limit(spark: SparkSession, base: str, name: str) -> tuple[int, int]:
@@ -93,31 +94,52 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return on_pages.select(F.col("id").alias("para_id"), F.col("source_sentence").alias("ja_sent"), F.col("target_sentence").alias("zh_sent"))
 
 
-def _noise(spark: SparkSession, base: str) -> DataFrame:
+TITLE_SALTS = 16
+
+
+def _with_titles(rows: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with title and heads of their volume; one volume may hold a third of all rows, so the volumes are repeated over salts."""
+    salted = titles.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(TITLE_SALTS)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(TITLE_SALTS)).cast("int")).join(salted, ["doc_id", "_salt"], "left")
+
+
+def _noise(spark: SparkSession, base: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Noise of blocks (with the ``keep`` columns, doc_id among them) and of paragraphs."""
     paras, blocks = table(spark, base, "ocr_paragraphs"), table(spark, base, "blocks")
-    decisions = scan_noise.decide(cut(scan_noise.count_lexicon(paras.select("text").unionAll(blocks.select("text")))))
-    titles = table(spark, base, "pdf_files").groupBy("doc_id").agg(F.min("title").alias("title"))
+    judge = misreads.learn_judge(paras.select("text").unionAll(blocks.select("text")))
     in_points = F.lit(72.0) / F.when(F.col("coord_dpi") > 0, F.col("coord_dpi"))
     height = F.abs(F.col("y1") - F.col("y0"))
-    lines = blocks.join(titles, "doc_id", "left").withColumns({
+    lines = blocks.withColumns({
         "top": F.least("y0", "y1") * in_points,
         "size": F.when(height > 0, height).otherwise(F.when(F.col("font_size") > 0, F.col("font_size"))) * in_points,
     })
-    return _two(
-        scan_noise.find_noise(lines, decisions, "block_id", False),
-        scan_noise.find_noise(paras.join(titles, "doc_id", "left"), decisions, "id", True),
-        "blocks", "ocr_paragraphs",
-    )
+    heads = scan_noise.repeated_heads(lines)
+    titles = cut(table(spark, base, "pdf_files").groupBy("doc_id").agg(F.min("title").alias("title")).join(heads, "doc_id", "full"))
+    lines = _with_titles(lines.select("block_id", "text", "top", "size", "block_type", *(("doc_id",) if not keep else keep)), titles, "block_id")
+    paras = _with_titles(paras.select("id", "doc_id", "text"), titles, "id")
+    return scan_noise.find_noise(lines, judge, "block_id", False, keep), scan_noise.find_noise(paras, judge, "id", True)
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Kinds of scanning noise in each text: src_table, row_id, noise_kind."""
-    return _noise(spark, base).select("src_table", "row_id", F.explode("kinds").alias("noise_kind"))
+    return _two(*_noise(spark, base), "blocks", "ocr_paragraphs").select("src_table", "row_id", F.explode("kinds").alias("noise_kind"))
+
+
+LINE_COLUMNS = ("doc_id", "page_num", "block_idx", "x0", "y0", "x1", "y1", "font_size")
 
 
 def p4_repaired(spark: SparkSession, base: str) -> DataFrame:
-    """Every text repaired to a continuous readable one: src_table, row_id, repaired."""
-    return _noise(spark, base).select("src_table", "row_id", "repaired")
+    """Every text repaired to a continuous readable one: src_table, row_id, repaired. Words cut by a line end stand whole in its block."""
+    lines, paras = _noise(spark, base, LINE_COLUMNS)
+    lines = scan_noise.join_cut_lines(cut(lines))
+    return _two(lines.select("row_id", "repaired"), paras.select("row_id", "repaired"), "blocks", "ocr_paragraphs").select("src_table", "row_id", "repaired")
+
+
+def p4_paragraphs(spark: SparkSession, base: str) -> DataFrame:
+    """The repaired printed lines of each page as paragraphs, without page furniture: doc_id, page_num, para_idx, text."""
+    lines = scan_noise.join_cut_lines(cut(_noise(spark, base, LINE_COLUMNS)[0]))
+    rows = lines.where("repaired != ''").withColumnRenamed("repaired", "text")
+    return simple.simple_paragraphs(rows).select("doc_id", "page_num", F.col("para_idx").cast("bigint").alias("para_idx"), "text")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -183,7 +205,7 @@ def p9_profile(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers, p9_found, p9_profile)
 }
 
 #: Queries of this package that SQL can express on whole tables.

@@ -1,19 +1,11 @@
 """Problem 4: find and repair the noise of scanned pages.
 
-Kinds: 'hyphen' (a word cut by the end of a printed line), 'misread' (wrongly recognised characters), 'running_head' and
-'page_no' (printed page furniture, as a row of its own or as a line inside a paragraph).
+Kinds: 'hyphen' (a word cut by the end of a printed line), 'misread' (wrongly recognised characters, see ``misreads``),
+'running_head' and 'page_no' (printed page furniture, as a row of its own or as a line inside a paragraph).
 
-Misread characters: a lexicon with corpus frequencies is counted over all rows (Latin words, for each character of a
-confusion pair its contexts of two neighbouring characters on either side, and all pairs and triples of Han characters
-and kana). A symmetric-delete index over the lexicon gives correction candidates: Latin words within two deletions, and
-contexts that agree once the doubtful character is deleted. A weighted edit distance, cheap for confusion pairs, ranks
-the words; the frequency of the bigrams around the character decides between the members of a confusion pair. Any other
-character is misread if a triple with another one in its place is frequent and both its own bigrams are rare in the
-whole corpus and beside those of the other one, which must also fit the two characters before or after. A Latin word that
-is one plain error off a frequent word is misread too, unless it is longer or shorter at its end, as inflected words are.
-
-The lexicon that reaches the tasks holds what has at least ``SHARE`` of all counted words or contexts, which bounds its
-size by 1 / SHARE whatever the size of the corpus.
+A running head is the volume's title (spaced out, bracketed, with chapter or part, misread in a character, cut off at
+either end), or a line that stands first on a good part of the volume's pages (``repeated_heads``). Its place on the page
+alone makes no line a head.
 
 Results for the special cases: null and empty texts have no noise and are repaired to themselves; repeated rows are
 judged each; a row without geometry is judged by its text alone; extra columns are ignored; empty tables give no rows;
@@ -22,51 +14,31 @@ of equally near corrections the more frequent word wins, then the alphabetically
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Printed character and what recognition makes of it.
-CONFUSIONS = (
-    "確碓 管菅 ー一 庫康 ロ口 口ロ トト ト卜 用甩 査杳 録緑 果杲 力カ カ力 験騒 備傭 品晶 タ夕 間問 帳張 ニ二 二ニ "
-    "施旋 日曰 社杜 末未 ハ八 エ工 工エ 0〇 土士 士土 千干 治冶 設没 検険 業葉 料科 根恨 置罝 綱網 未末"
-).split()
-# Latin letters and figures that are taken for each other.
-LATIN_CONFUSIONS = {"1": "lit", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "c": "e", "e": "c", "l": "i"}
-#: Share of all counted words (contexts) that a word (context) needs to serve as a correction.
-SHARE = 1e-5
-#: A correction must be this many times as frequent as what it replaces.
-RATIO = 10
-#: Printed lines nearer to the edge of the page than this, in points, stand in the margin; larger type is a title.
-MARGIN_PT, TITLE_PT = 27.0, 16.0
-
-WRONG: dict[str, list[str]] = {}
-for _right, _wrong in (x for x in CONFUSIONS if x[0] != x[1]):
-    WRONG.setdefault(_wrong, []).append(_right)
-_WATCHED = "".join(sorted({c for pair in CONFUSIONS for c in pair} - {"0"}))
-_WATCH = re.compile(f"[{_WATCHED}]")
-_DOUBTFUL = re.compile(f"[{''.join(sorted(WRONG))}]")
-_WORD = re.compile(r"(?<![A-Za-z0-9])[0159]?[A-Za-z][A-Za-z0-9]*")
-_CODE = re.compile(r"(?:[A-Za-z]{2}-?[0-9]{3,7}|[0-9]{4}-?[A-Za-z]{2}[0-9]*|[A-Za-z]{2}[0-9]{3}-)")
-_NUMBER = re.compile(r"(?<![A-Za-z0-9＀-￯.\-])[-]?[0-9IlOoBSZ〇][0-9IlOoBSZ〇,.]*(?![A-Za-z0-9\-])")
-_DIGITS = str.maketrans("0123456789", "9999999999")
-_HYPHENS = "=¬­‐-"
+from .misreads import HYPHENS, INNER_HYPHEN, Judge
+
+#: Larger type, in points, is a title; a short piece of the title is a head only nearer to the edge than this.
+TITLE_PT, MARGIN_PT = 16.0, 27.0
+#: A line is a head if it stands first on this share of the volume's pages, and on this number at least.
+HEAD_SHARE, HEAD_PAGES = 0.2, 3
+
+_BRACKETS = "\\s【】\\[\\]〔〕〈〉《》"
 _PAGE_MARK = re.compile(r"[-–—―・]\s*[0-9０-９]{1,4}\s*[-–—―・]|p{1,2}\.?\s?[0-9]{1,4}|P\.\s?[0-9]{1,4}|\[[0-9]{1,4}\]|［[0-9０-９]{1,4}］|[(（][0-9]{1,4}[)）]\s*$|第\s*[0-9０-９一二三四五六七八九十百〇]{1,5}\s*[頁ページ]+|[0-9０-９]{1,4}\s*[/／]\s*[0-9０-９]{1,5}|[0-9]{1,4}\s*(?:頁|ページ)")
 _BARE_NUMBER = re.compile(r"[0-9０-９]{1,4}|[一二三四五六七八九十百〇]{1,4}")
 _HEAD_EXTRA = re.compile(r"第[0-9一二三四五六七八九十〇]+[章編部節回巻号]|巻[一二三四五六七八九十0-9]+|[上中下続]|その[一二三四五0-9]+")
-_INNER_HYPHEN = re.compile(rf"([A-Za-z][A-Za-z0-9]*)[{_HYPHENS}][ \t\r]*(\n?)[ \t]*([a-z][a-z0-9]*|[01589][a-z][a-z0-9]+)")
-_END_HYPHEN = re.compile(rf"(?<![A-Za-z0-9\-])([A-Za-z][A-Za-z0-9]*)[{_HYPHENS}]\s*$", re.S)
+_END_HYPHEN = re.compile(rf"(?<![A-Za-z0-9\-])([A-Za-z][A-Za-z0-9]*)[{HYPHENS}]\s*$", re.S)
 
 
 def _flat(text: str) -> str:
-    return re.sub(r"[\s【】\[\]〔〕〈〉《》]", "", text)
+    return re.sub(f"[{_BRACKETS}]", "", text)
 
 
 def is_page_number(line: str) -> bool:
@@ -74,12 +46,17 @@ def is_page_number(line: str) -> bool:
     return _PAGE_MARK.fullmatch(line.strip()) is not None
 
 
-def is_head(line: str, title: str | None) -> bool:
-    """Whether the line is the volume's title, perhaps spaced out, bracketed, cut off or with chapter and part."""
+def is_head(line: str, title: str | None, repeated: frozenset[str] | None = None, least: int = 4) -> bool:
+    """Whether the line is the volume's title, perhaps spaced out, bracketed, cut off or with chapter and part, or one of its ``repeated`` heads.
+
+    ``least``: letters that a piece of the title needs.
+    """
+    if repeated and head_key(line) in repeated:
+        return True
     if not title or len(line) > 4 * len(title) + 12:
         return False
     flat, own = _flat(line), _flat(title)
-    if len(flat) > len(own) + 10 or len(flat) < 4:
+    if len(flat) > len(own) + 10 or len(flat) < least:
         return False
     if own in flat:
         return _HEAD_EXTRA.sub("", flat.replace(own, "", 1)) == ""
@@ -87,21 +64,29 @@ def is_head(line: str, title: str | None) -> bool:
     for x in {core, re.sub(r"(?:巻.|[上中下続])$", "", core)}:
         if len(x) == len(own) and sum(a != b for a, b in zip(x, own)) <= max(1, len(own) // 6):
             return True
-        # cut off at either end; names of places and houses differ by one character, so only confusion pairs may differ
-        if 4 <= len(x) < len(own) <= 2 * len(x) and any(all(a == b or b + a in CONFUSIONS for a, b in zip(x, part)) for part in (own, own[-len(x) :])):
-            return True
+        # cut off at either end; names of places and houses differ by one character, so only a long piece may hold a misread one
+        if least <= len(x) < len(own) <= 2 * len(x) + 2 * (4 - least):
+            for part in (own[: len(x)], own[-len(x) :]):
+                wrong = sum(a != b for a, b in zip(x, part))
+                if wrong == 0 or wrong == 1 and len(x) >= 8 and x[-1] == part[-1] and x[0] == part[0]:
+                    return True
     return False
 
 
-def parts(text: str, title: str | None) -> tuple[str, bool, bool]:
+def head_key(line: str) -> str:
+    """What a head has in common on all pages: no spaces and brackets, chapter and part left out, figures alike."""
+    return re.sub("[0-9０-９]", "9", _HEAD_EXTRA.sub("", _flat(line)))
+
+
+def parts(text: str, title: str | None, repeated: frozenset[str] | None = None) -> tuple[str, bool, bool]:
     """The paragraph without page furniture, and whether it held a head or a page number."""
     lines = text.split("\n")
     if len(lines) == 1:
-        return text, is_head(text, title), is_page_number(text)
+        return text, is_head(text, title, repeated), is_page_number(text)
     head = number = False
     kept, kinds = [], []
     for line in lines:
-        kinds.append("page" if is_page_number(line) else "head" if is_head(line, title) else "bare" if _BARE_NUMBER.fullmatch(line.strip()) else "")
+        kinds.append("page" if is_page_number(line) else "head" if is_head(line, title, repeated) else "bare" if _BARE_NUMBER.fullmatch(line.strip()) else "")
     for k, (line, kind) in enumerate(zip(lines, kinds)):
         if kind == "bare" and len(lines) > 2:
             # a printed line of a paragraph is never so short unless it is the last
@@ -115,294 +100,6 @@ def parts(text: str, title: str | None) -> tuple[str, bool, bool]:
     return "\n".join(kept), head, number
 
 
-def contexts(text: str, at: int) -> list[tuple[str, str, str]]:
-    """(kind, before, after) of the character at ``at``: both neighbours, the two before, the two after."""
-    before, after = text[max(0, at - 2) : at].translate(_DIGITS), text[at + 1 : at + 3].translate(_DIGITS)
-    out = []
-    if before and after:
-        out.append(("m", before[-1], after[0]))
-    if len(before) == 2 and before.isalnum():
-        out.append(("b", before, ""))
-    if len(after) == 2 and after.isalnum():
-        out.append(("a", "", after))
-    return out
-
-
-def _letter(codes: np.ndarray) -> np.ndarray:
-    """Which code points are Han characters or kana."""
-    kana = (codes >= 0x3041) & (codes <= 0x3096) | (codes >= 0x30A1) & (codes <= 0x30FA) | (codes == 0x30FC)
-    return kana | (codes >= 0x3400) & (codes <= 0x9FFF) | (codes >= 0x20000) & (codes <= 0x3FFFF)
-
-
-def _runs(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``length`` letters packed into integers, 21 bits a letter, and how often each occurs."""
-    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    letter, m = _letter(codes), len(codes) - length + 1
-    if m <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.flatnonzero(np.logical_and.reduce([letter[k : m + k] for k in range(length)]))
-    packed = np.zeros(len(at), np.int64)
-    for k in range(length):
-        packed = packed << 21 | codes[at + k]
-    return np.unique(packed, return_counts=True)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    total = np.zeros(len(keys), np.int64)
-    np.add.at(total, at, np.concatenate([n for _, n in parts]))
-    return keys, total
-
-
-def _run_rows(kind: str, packed: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    at = lambda shift: [chr(c) for c in (packed >> shift & 0x1FFFFF).tolist()]
-    before, item, after = (at(42), at(21), at(0)) if kind == "t" else (at(21), at(0), [""] * len(packed))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in ([kind] * len(packed), before, after, item)), pa.array(n, pa.int64())], ["kind", "before", "after", "item", "n"])
-
-
-def count_lexicon(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind, before, after, item, n over all rows.
-
-    Contexts of watched characters ('m', 'b', 'a'), Latin words ('w'), and of Han characters and kana the triples ('t')
-    and pairs ('p', ``before`` and ``item``).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[str, str, str, str]] = Counter()
-        letters: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"t": [], "p": []}
-
-        def flush() -> pa.RecordBatch:
-            keys = list(counts)
-            batch = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "before", "after", "item", "n"])
-            counts.clear()
-            return batch
-
-        for batch in batches:
-            flats = []
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                flat = text.replace("\n", "")
-                flats.append(flat)
-                for m in _WATCH.finditer(flat):
-                    c = m.group()
-                    for kind, before, after in contexts(flat, m.start()):
-                        counts[kind, before, after, c] += 1
-                joined = _INNER_HYPHEN.sub(lambda m: m.group(1) + m.group(3), text)
-                for w in _WORD.findall(joined):
-                    if len(w) > 3 and not any(x.isdigit() for x in w):
-                        counts["w", "", "", w.lower()] += 1
-            for kind, length in (("t", 3), ("p", 2)):
-                letters[kind] = [_merged([*letters[kind], _runs(flats, length)])]
-                if len(letters[kind][0][0]) > 1_000_000:
-                    yield _run_rows(kind, *letters[kind].pop())
-            if len(counts) > 200_000:
-                yield flush()
-        for kind, parts in letters.items():
-            for part in parts:
-                yield _run_rows(kind, *part)
-        yield flush()
-
-    rows = texts.select(text_col).mapInArrow(run, "kind string, before string, after string, item string, n bigint")
-    return rows.groupBy("kind", "before", "after", "item").agg(F.sum("n").alias("n"))
-
-
-def decide(lexicon: DataFrame, share: float = SHARE, ratio: float = RATIO) -> tuple[dict[tuple[str, str, str, str], str], dict[str, int]]:
-    """Contexts in which a character is misread, with the right one, and the frequent words.
-
-    Frequent contexts and words are bounded by 1 / share, those that fit by ratio / share. Kind 't' holds the decisions outside the confusion pairs, and
-    kind 'f' the two characters before or after that fit a right one of these.
-    """
-    spark = lexicon.sparkSession
-    totals = {r.kind: r.n for r in lexicon.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # six rows
-    least = max(4, sum(totals.get(k, 0) for k in "mba") * share)
-    pairs = spark.createDataFrame([(w, r) for w, rights in WRONG.items() for r in rights], "item string, right string")
-    seen = lexicon.where("kind in ('m', 'b', 'a')")
-    good = seen.where(F.col("n") >= least).select("kind", "before", "after", F.col("item").alias("right"), F.col("n").alias("n_right"))
-    bad = seen.join(pairs, "item").join(good, ["kind", "before", "after", "right"]).where(F.col("n_right") >= ratio * F.col("n"))
-    wrong = {(r.kind, r.before, r.after, r.item): (r.n_right, r.right) for r in bad.orderBy("n_right", F.desc("right")).collect()}
-    others, fits = _decide_others(lexicon, max(4, totals.get("t", 0) * share), ratio)
-    least = max(3, totals.get("w", 0) * share)
-    words = {r.item: r.n for r in lexicon.where((F.col("kind") == "w") & (F.col("n") >= least)).select("item", "n").collect()}
-    return {k: v[1] for k, v in wrong.items()} | others | fits, words
-
-
-def _decide_others(lexicon: DataFrame, least: float, ratio: float) -> tuple[dict[tuple[str, str, str, str], str], dict[tuple[str, str, str, str], str]]:
-    """Decisions of kinds 't' and 'f' for characters outside the confusion pairs."""
-    triples = lexicon.where("kind = 't'").select("before", "item", "after", "n")
-    pairs = lexicon.where("kind = 'p'")
-    left = pairs.select("before", "item", F.col("n").alias("n_left"))
-    right = pairs.select(F.col("before").alias("item"), F.col("item").alias("after"), F.col("n").alias("n_after"))
-    rare = triples.join(left.where(F.col("n_left") < least), ["before", "item"]).join(right.where(F.col("n_after") < least), ["item", "after"])
-    good = triples.where(F.col("n") >= least).withColumnsRenamed({"item": "right", "n": "n_right"})
-    bad = (
-        rare.join(good, ["before", "after"]).where((F.col("n_right") >= ratio * F.col("n")) & (F.col("item") != F.col("right")))
-        .join(left.where(F.col("n_left") >= least).withColumnsRenamed({"item": "right", "n_left": "r_left"}), ["before", "right"])
-        .join(right.where(F.col("n_after") >= least).withColumnsRenamed({"item": "right", "n_after": "r_after"}), ["right", "after"])
-        .where((F.col("r_left") >= ratio * F.col("n_left")) & (F.col("r_after") >= ratio * F.col("n_after")))
-    )
-    best = bad.groupBy("before", "after", "item").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_right")).alias("n"), "right"))).alias("rights")).collect()
-    wrong = {("t", r.before, r.after, r.item): "".join(x.right for x in r.rights) for r in best}
-    rights = sorted(set("".join(wrong.values())))
-    fits = {}
-    if rights:
-        frequent = triples.where(F.col("n") >= max(4, least / ratio))
-        for r in frequent.where(F.col("after").isin(rights)).collect():
-            fits["f", r.before + r.item, "", r.after] = r.after
-        for r in frequent.where(F.col("before").isin(rights)).collect():
-            fits["f", "", r.item + r.after, r.before] = r.before
-    return wrong, fits
-
-
-class Lexicon:
-    """Words by frequency with a symmetric-delete index; words that are misreadings of far more frequent ones (of confused letters, or rn for m) are left out."""
-
-    def __init__(self, words: dict[str, int], ratio: float = RATIO):
-        self.index: dict[str, list[str]] = {}
-        self.words = words
-        for w in sorted(words):
-            for d in self._deletes(w):
-                self.index.setdefault(d, []).append(w)
-        merged = {w: w.replace("rn", "m") for w in words if "rn" in w}
-        self.words = {w: n for w, n in words.items() if ((best := self._best(w, 0.9)) is None or words[best] < ratio * n) and words.get(merged.get(w, ""), 0) < ratio * n}
-        self.index.clear()
-        for w in sorted(self.words):
-            for d in self._deletes(w):
-                self.index.setdefault(d, []).append(w)
-        self.edges = {w[:k] for w in self.words for k in range(2, len(w) + 1)} | {w[k:] for w in self.words for k in range(len(w) - 1)}
-        self.least = ratio * min(self.words.values(), default=0)
-        self.known: dict[str, str | None] = {}
-        self.most_known = 1_000_000  # bounds the memory alone
-
-    @staticmethod
-    def _deletes(w: str) -> set[str]:
-        return {"".join(x) for k in range(3) for x in combinations(w, len(w) - k)} if len(w) <= 20 else {w}
-
-    def _best(self, word: str, most: float) -> str | None:
-        found = {w for d in self._deletes(word) for w in self.index.get(d, ()) if w != word}
-        ranked = sorted((distance(word, w), -self.words[w], w) for w in found)
-        return ranked[0][2] if ranked and ranked[0][0] <= most else None
-
-    def correction(self, word: str, edge: bool) -> str | None:
-        """The right word if ``word`` is misread; ``edge``: it may be a fragment cut by the end of a line."""
-        w = word.lower()
-        if w in self.words or edge and w in self.edges:
-            return None
-        key = f"{w}|" if edge else w
-        if key in self.known:
-            return self.known[key]
-        best = self._confused(w, edge)
-        if best is None and len(w) > 4:
-            best = self._best(w, 0.9) or self._plain(w)
-        if len(self.known) < self.most_known:
-            self.known[key] = best
-        return best
-
-    def _plain(self, w: str) -> str | None:
-        """The far more frequent word that ``w`` misses by one plain error; ends that differ in length are inflections."""
-        best = self._best(w, 1.0) if len(w) > 5 else None
-        if best is None or self.words[best] < self.least:
-            return None
-        if len(w) == len(best):
-            return best
-        return None if w.startswith(best) or best.startswith(w) or any(x.isdigit() for x in w) else best
-
-    def _confused(self, w: str, edge: bool) -> str | None:
-        pool = self.edges if edge else self.words
-        if "rn" in w:
-            merged = w.replace("rn", "m")
-            if merged in pool:
-                return merged
-            if best := self._letters(merged, edge):
-                return best
-        return self._letters(w, edge)
-
-    def _letters(self, w: str, edge: bool) -> str | None:
-        at = [k for k, c in enumerate(w) if c in LATIN_CONFUSIONS and (c not in "le" or any(x.isdigit() for x in w) is False and c != "e")]
-        pool = self.edges if edge else self.words
-        for n in range(1, min(4, len(at)) + 1):
-            for places in combinations(at, n):
-                options = [""]
-                last = 0
-                for p in places:
-                    options = [o + w[last:p] + r for o in options for r in LATIN_CONFUSIONS[w[p]]]
-                    last = p + 1
-                for o in options:
-                    if o + w[last:] in pool:
-                        return o + w[last:]
-        return None
-
-
-def distance(a: str, b: str) -> float:
-    """Edit distance from the read word to the printed one; a confusion pair costs 0.3."""
-    row = [float(j) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], float(i)
-        for j, y in enumerate(b, 1):
-            cost = 0.0 if x == y else 0.3 if y in LATIN_CONFUSIONS.get(x, "") else 1.0
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + cost)
-    return row[-1]
-
-
-@lru_cache(maxsize=4)
-def _lexicon(words: tuple[tuple[str, int], ...]) -> Lexicon:
-    return Lexicon(dict(words))
-
-
-class Judge:
-    """Misread characters of a text, by the decisions and the lexicon of the whole corpus."""
-
-    def __init__(self, wrong: dict[tuple[str, str, str, str], str], words: tuple[tuple[str, int], ...]):
-        self.wrong, self.lexicon = wrong, _lexicon(words)
-        others = {item for kind, _, _, item in wrong if kind == "t"}
-        self.others = re.compile(f"[{''.join(map(re.escape, sorted(others)))}]") if others else None
-
-    def repairs(self, text: str, cut_edges: bool) -> list[tuple[int, int, str]]:
-        """(start, end, right text) of each misread place. ``cut_edges``: the first and last word may go on elsewhere."""
-        out = []
-        for m in _DOUBTFUL.finditer(text):
-            c = m.group()
-            if c == "〇":
-                continue
-            for kind, before, after in contexts(text, m.start()):
-                if right := self.wrong.get((kind, before, after, c)):
-                    out.append((m.start(), m.end(), right))
-                    break
-        if self.others:
-            done = {start for start, _, _ in out}
-            out += [(m.start(), m.end(), right) for m in self.others.finditer(text) if m.start() not in done and (right := self._other(text, m.start()))]
-        for m in _WORD.finditer(text):
-            w = m.group()
-            if len(w) < 3 or (m.start() and (text[m.start() - 1].isdigit() or text[m.start() - 1] == "-")):
-                continue
-            letters = sum(x.isalpha() for x in w)
-            if letters < 3 or letters <= len(w) - letters or _CODE.match(w) or w[:2].isupper():
-                continue
-            edge = cut_edges and (m.start() == 0 or not text[m.end() :].strip(_HYPHENS + " "))
-            if right := self.lexicon.correction(w, edge):
-                out.append((m.start(), m.end(), right.capitalize() if w[0].isupper() else right))
-        for m in _NUMBER.finditer(text):
-            w = m.group()
-            if not any(x.isdigit() for x in w) or not any(x in "IlOoBSZ〇" for x in w):
-                continue
-            if cut_edges and (m.start() == 0 and w[0] in "Bo" or m.end() == len(text) and w[-1] == "B"):
-                continue
-            if m.end() < len(text) and text[m.end()].isascii() and text[m.end()] not in "%.," or re.search(r"[A-Za-z]{3}", w):
-                continue
-            out.append((m.start(), m.end(), w.translate(str.maketrans("IlOoBSZ〇", "11008520"))))
-        return sorted(out)
-
-    def _other(self, text: str, at: int) -> str | None:
-        """The right character, outside the confusion pairs; the more of the two characters before and after it fits the better, one at least if there are such."""
-        rights = self.wrong.get(("t", text[at - 1 : at], text[at + 1 : at + 2], text[at]))
-        if not rights:
-            return None
-        before, after = text[max(0, at - 2) : at], text[at + 1 : at + 3]
-        alone = not (len(before) == 2 and before.isalnum() or len(after) == 2 and after.isalnum())
-        fit = [(("f", before, "", r) in self.wrong) + (("f", "", after, r) in self.wrong) for r in rights]
-        return rights[fit.index(max(fit))] if alone or max(fit) else None
-
-
 def apply_repairs(text: str, repairs: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for start, end, right in repairs:
@@ -424,7 +121,7 @@ def join_hyphens(text: str) -> tuple[str, bool]:
         found = True
         return first + second
 
-    return (_INNER_HYPHEN.sub(one, text), found) if any(h in text for h in _HYPHENS) else (text, False)
+    return (INNER_HYPHEN.sub(one, text), found) if any(h in text for h in HYPHENS) else (text, False)
 
 
 def ends_in_hyphen(text: str) -> bool:
@@ -442,9 +139,9 @@ def ends_in_hyphen(text: str) -> bool:
     return last != "" and last in "「『に" or last == " " and before.isascii() and before.isalpha()
 
 
-def noise_of_paragraph(text: str, title: str | None, judge: Judge) -> tuple[list[str], str]:
+def noise_of_paragraph(text: str, title: str | None, repeated: frozenset[str] | None, judge: Judge) -> tuple[list[str], str]:
     """Kinds of noise and the repaired, continuous text."""
-    body, head, number = parts(text, title)
+    body, head, number = parts(text, title, repeated)
     body, hyphen = join_hyphens(body)
     flat = body.replace("\n", "")
     repairs = judge.repairs(flat, False)
@@ -452,7 +149,7 @@ def noise_of_paragraph(text: str, title: str | None, judge: Judge) -> tuple[list
     return kinds, apply_repairs(flat, repairs)
 
 
-def noise_of_line(text: str, title: str | None, top: float | None, size: float | None, block_type: str | None, judge: Judge) -> tuple[list[str], str]:
+def noise_of_line(text: str, title: str | None, repeated: frozenset[str] | None, top: float | None, size: float | None, block_type: str | None, judge: Judge) -> tuple[list[str], str]:
     """The same for a printed line; ``top`` and ``size`` in points. Page furniture is repaired to the empty text."""
     stripped = text.strip()
     table = block_type == "table"
@@ -460,7 +157,7 @@ def noise_of_line(text: str, title: str | None, top: float | None, size: float |
         return ["page_no"], ""
     large = size is not None and size >= TITLE_PT
     in_margin = top is not None and 0 < top < MARGIN_PT
-    if not table and not large and stripped and (in_margin or is_head(stripped, title)):
+    if not table and not large and stripped and is_head(stripped, title, repeated, 2 if in_margin else 4):
         misread = bool(judge.repairs(text, True))
         return (["misread"] if misread else []) + ["running_head"], ""
     repairs = judge.repairs(text, True)
@@ -468,36 +165,75 @@ def noise_of_line(text: str, title: str | None, top: float | None, size: float |
     return kinds, apply_repairs(text, repairs)
 
 
-_JUDGES: dict[int, Judge] = {}
+def repeated_heads(lines: DataFrame, share: float = HEAD_SHARE, least: int = HEAD_PAGES) -> DataFrame:
+    """doc_id and heads (at most 1 / share) of the volumes: lines that stand first on many of their pages.
+
+    ``lines``: doc_id, page_num, text, top, size, block_type. Each page gives one line, found with map-side minima, so
+    no page and no volume meets in one task.
+    """
+    flat = F.regexp_replace("text", f"[{_BRACKETS}]", "")
+    key = F.regexp_replace(F.regexp_replace(flat, _HEAD_EXTRA.pattern, ""), "[0-9０-９]", "9")
+    plain = ~F.trim("text").rlike(f"^(?:{_PAGE_MARK.pattern}|{_BARE_NUMBER.pattern})$") & (F.coalesce("block_type", F.lit("")) != "table") & (F.coalesce("size", F.lit(0.0)) < TITLE_PT)
+    rows = lines.where(plain & (F.col("top") > 0)).select("doc_id", "page_num", "top", key.alias("key"))
+    first = rows.groupBy("doc_id", "page_num").agg(F.min(F.struct("top", "key")).alias("f"))
+    counted = first.groupBy("doc_id", F.col("f.key").alias("key")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("doc_id"))
+    kept = counted.withColumn("_total", total).where((F.col("n") >= least) & (F.col("n") >= share * F.col("_total")) & (F.length("key") >= 2))
+    return kept.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("heads"))
+
+
+_JUDGES: dict[str, Judge] = {}
 
 
-def find_noise(df: DataFrame, decisions: tuple[dict, dict], id_col: str, paragraphs: bool) -> DataFrame:
-    """row_id, kinds array<string>, repaired string for each row of ``df``.
+def find_noise(df: DataFrame, judge: Judge, id_col: str, paragraphs: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, kinds array<string>, repaired string and the ``keep`` columns for each row of ``df``.
 
-    ``df`` has text and title, for printed lines also top, size (points) and block_type. No shuffle.
+    ``df`` has text, title and heads, for printed lines also top, size (points) and block_type. No shuffle.
     """
-    wrong, words = decisions
-    items = tuple(sorted(words.items()))
-    token = hash((items, len(wrong)))
+    payload = pickle.dumps(judge)
+    token = hashlib.sha256(payload).hexdigest()
+    names = ["text", "title", "heads"] + ([] if paragraphs else ["top", "size", "block_type"])
+    n = 1 + len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if token not in _JUDGES:
             _JUDGES.clear()
-            _JUDGES[token] = Judge(wrong, items)
-        judge = _JUDGES[token]
+            _JUDGES[token] = pickle.loads(payload)
+        own = _JUDGES[token]
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
+            cols = [batch.column(i).to_pylist() for i in range(1, n)]
             kinds, repaired = [], []
             for row in zip(*cols):
                 if not row[0]:
                     k, r = [], row[0]
-                elif paragraphs:
-                    k, r = noise_of_paragraph(row[0], row[1], judge)
                 else:
-                    k, r = noise_of_line(*row, judge)
+                    text, title, heads, *place = row
+                    heads = frozenset(heads) if heads else None
+                    k, r = noise_of_paragraph(text, title, heads, own) if paragraphs else noise_of_line(text, title, heads, *place, own)
                 kinds.append(k)
                 repaired.append(r)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(repaired, pa.string())], ["row_id", "kinds", "repaired"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(repaired, pa.string()), *(batch.column(i) for i in range(n, batch.num_columns))], ["row_id", "kinds", "repaired", *keep])
 
-    names = ["text", "title"] if paragraphs else ["text", "title", "top", "size", "block_type"]
-    return df.select(F.col(id_col).alias("row_id"), *names).mapInArrow(run, "row_id bigint, kinds array<string>, repaired string")
+    extra = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(id_col).alias("row_id"), *names, *keep).mapInArrow(run, f"row_id bigint, kinds array<string>, repaired string{extra}")
+
+
+def join_cut_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (row_id, kinds, repaired, doc_id, page_num and box) with words that go on in another line put together.
+
+    A line that ends inside a word takes the rest from the nearest line below it on the page that begins with one; every
+    rest is taken once. Only lines cut at their end and lines that begin with letters are compared, page by page; a word
+    without continuation is left as it is.
+    """
+    page = ["doc_id", "page_num"]
+    fragment = F.regexp_extract("repaired", "^[a-z][a-z0-9]*", 0)
+    first = lines.where(F.array_contains("kinds", "hyphen")).select(*page, F.col("row_id").alias("cut_id"), *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")))
+    rest = lines.select(*page, F.col("row_id").alias("rest_id"), "x0", "y0", "x1", fragment.alias("fragment")).where("fragment != ''")
+    near = first.join(rest, page).where("rest_id != cut_id and y0 > a_y0 and x0 < a_x1 and x1 > a_x0 and y0 - a_y1 <= 2 * greatest(a_y1 - a_y0, 1.0)")
+    of_cut, of_rest = Window.partitionBy("cut_id").orderBy("y0", "x0", "rest_id"), Window.partitionBy("rest_id").orderBy(F.desc("a_y0"), "cut_id")
+    pairs = near.withColumn("_n", F.row_number().over(of_cut)).where("_n = 1").withColumn("_m", F.row_number().over(of_rest)).where("_m = 1")
+    change = pairs.select(F.col("cut_id").alias("row_id"), F.col("fragment").alias("_take"), F.lit(0).alias("_drop")).unionByName(pairs.select(F.col("rest_id").alias("row_id"), F.lit("").alias("_take"), F.length("fragment").alias("_drop")))
+    change = change.groupBy("row_id").agg(F.max("_take").alias("_take"), F.max("_drop").alias("_drop"))
+    left = F.ltrim(F.expr("substring(repaired, _drop + 1)"))
+    joined = F.when(F.col("_take") != "", F.concat(F.regexp_replace(left, f"[{HYPHENS}]\\s*$", ""), "_take")).otherwise(left)
+    return lines.join(change, "row_id", "left").withColumn("repaired", F.when(F.col("_drop").isNull(), F.col("repaired")).otherwise(joined)).drop("_take", "_drop")

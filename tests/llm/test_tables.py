@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quire.llm import alignment, encoding, formatting_copies, lookalike, packing, pairs, queries, reading_level, scan_noise, splitting
+from quire.llm import alignment, encoding, formatting_copies, lookalike, misreads, packing, pairs, queries, reading_level, scan_noise, splitting
 
 BASE = "/root/testdata/sf0.001"
 TEXTS = "id bigint, text string, key string, row_id bigint, _t string"
@@ -131,26 +131,75 @@ def test_all_translated_paragraphs_enter_the_statistics(spark, monkeypatch):
     assert seen == {"rows": paras.where(F.col("translated_text").rlike("[\\u3400-\\u9fff]")).count(), "pairs": paras.count() + cache.count()}
 
 
+def noise(df, judge, paragraphs=True):
+    df = df.withColumns({"title": F.lit("題"), "heads": F.lit(None).cast("array<string>"), "kinds": F.lit(1), "top": F.lit(100.0), "size": F.lit(10.0), "block_type": F.lit("text")})
+    return {r.row_id: (r.kinds, r.repaired) for r in scan_noise.find_noise(df, judge, "id", paragraphs).collect()}
+
+
 def test_noise_of_tables(spark):
     rows = [(i, "交換部品は倉庫に登録された。") for i in range(60)] + [(100, "交換部品は倉康に登録された。"), (101, None), (102, "")]
-    df = spark.createDataFrame(rows, "id bigint, text string").withColumns({"title": F.lit("題"), "kinds": F.lit(1)})
-    wrong, words = scan_noise.decide(scan_noise.count_lexicon(df))
-    out = {r.row_id: (r.kinds, r.repaired) for r in scan_noise.find_noise(df, (wrong, words), "id", True).collect()}
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    out = noise(df, misreads.learn_judge(df))
     assert out[100] == (["misread"], "交換部品は倉庫に登録された。") and out[0][0] == [] and out[101] == ([], None) and out[102] == ([], "")
-    assert scan_noise.decide(scan_noise.count_lexicon(df.limit(0))) == ({}, {})
+    none = misreads.learn_judge(df.limit(0))
+    assert none.wrong == {} and none.lexicon.index.words == {} and noise(df, none)[100][0] == []
 
 
-def test_misread_characters_outside_the_confusion_pairs(spark):
+def test_misread_characters(spark):
     texts = ["逆浸透膜の測定結果を水門の台帳に記す。"] * 60 + ["逆浸透膜の固定方法を示す。"] * 90 + ["質問に答える。"] * 60
     bad = ["逆浸透膜の側定結果を示す。", "新しい水問の台帳に記す。"]
     rows = list(enumerate([*texts, *bad, "水問", "質問の台帳"]))
-    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("title", F.lit("題"))
-    out = {r.row_id: (r.kinds, r.repaired) for r in scan_noise.find_noise(df, scan_noise.decide(scan_noise.count_lexicon(df)), "id", True).collect()}
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    out = noise(df, misreads.learn_judge(df))
     n = len(texts)
     assert out[n] == (["misread"], "逆浸透膜の測定結果を示す。") and out[n + 1] == (["misread"], "新しい水門の台帳に記す。")
     assert out[n + 2][0] == [] and out[n + 3][0] == [] and all(out[i] == ([], t) for i, t in rows[:n])
 
 
+def test_confusions_are_learned_and_held_out_places_found(spark):
+    # confusions that no list holds, in random company: Q for q-like pairs of Han characters, z for s in words
+    rnd = random.Random(7)
+    frames = [("岩", "発"), ("河", "流"), ("林", "道"), ("橋", "梁"), ("堤", "体")]
+    words = ["pressure", "assembly", "sensor", "series", "basis", "stations"]
+    texts, truth = [], set()
+    for i in range(6000):
+        a, b = rnd.choice(frames)
+        w = rnd.choice(words)
+        char, word = "鉱", w
+        if rnd.random() < 0.02:
+            char = "絋"
+            truth.add(i)
+        if rnd.random() < 0.02:
+            word = w.replace("s", "z", 1)
+            truth.add(i)
+        texts.append((i, f"第{rnd.randint(1, 99)}区の{a}{char}{b}は{word}である。"))
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    judge = misreads.learn_judge(df)
+    assert ("z", {"s"}) in judge.lexicon.cheap.items()
+    # held out: other numbers, several exchanged letters, places of the learned pair
+    held = [(1, "第123区の岩絋発はaz" + "zembly".replace("zz", "z") + "である。"), (2, "第7区の河鉱流はzerie" + "zである。"), (3, "第8区の林鉱道はstationsである。")]
+    out = noise(spark.createDataFrame(held, "id bigint, text string"), judge)
+    assert out[1] == (["misread"], "第123区の岩鉱発はassemblyである。") and out[2] == (["misread"], "第7区の河鉱流はseriesである。") and out[3] == ([], held[2][1])
+    found = {k for k, v in noise(df, judge).items() if v[0]}
+    assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.01 * len(truth)
+
+
+def test_heads_by_repetition(spark):
+    rows = []
+    for page in range(1, 11):
+        rows += [(1, page, "館 内 報" if page % 2 else "【館内報】", 15.0, 10.0, "text"), (1, page, f"- {page} -", 5.0, 10.0, "text"), (1, page, f"本文その{page}である。", 40.0, 10.0, "text"), (2, page, f"{chr(0x4E00 + page)}の行", 15.0, 10.0, "text")]
+    rows += [(3, 1, "館内報", 15.0, 10.0, "text"), (None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, page_num bigint, text string, top double, size double, block_type string")
+    assert [(r.doc_id, r.heads) for r in scan_noise.repeated_heads(df).collect()] == [(1, ["館内報"])]
+    assert scan_noise.repeated_heads(df.limit(0)).count() == 0
+
+
+def test_cut_words_are_joined_over_lines(spark):
+    rows = [(1, ["hyphen"], "the temper-", 1, 0.0, 0.0, 90.0, 10.0), (2, [], "ature of it", 1, 0.0, 12.0, 90.0, 22.0), (3, [], "other column", 1, 200.0, 12.0, 290.0, 22.0), (4, ["hyphen"], "at stan-", 2, 0.0, 0.0, 90.0, 10.0), (5, [], "番号", 2, 0.0, 12.0, 90.0, 22.0), (6, [], None, 1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id bigint, kinds array<string>, repaired string, page_num bigint, x0 double, y0 double, x1 double, y1 double").withColumn("doc_id", F.lit(1))
+    assert {r.row_id: r.repaired for r in scan_noise.join_cut_lines(df).collect()} == {1: "the temperature", 2: "of it", 3: "other column", 4: "at stan-", 5: "番号", 6: None}
+
+
 def test_held_out_reading_levels(spark):
     samples = reading_level.collect_samples(spark.read.parquet(f"{BASE}/graded_samples.parquet"))
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import alignment, encoding, lookalike, pairs, reading_level, scan_noise, splitting
+from quire.llm import alignment, encoding, lookalike, misreads, pairs, reading_level, scan_noise, splitting
 
 LABELS = re.compile("(?:品名|型番|数量)" + pairs.SEPARATOR)
 ENDS = frozenset({"水泵", "0台"})
@@ -136,40 +136,74 @@ def test_cut_off_heads():
     for line in ("白取岡図書", "白 取 岡 図 書", "【白取岡図書館】", "図書館年報", "第3章　白取岡図書"):
         assert scan_noise.is_head(line, title)
     assert scan_noise.is_head("霧取沢センサ一取扱説明", "霧取沢センサー取扱説明書")  # ー read as 一
+    assert scan_noise.is_head("白取岡", title, least=2) and not scan_noise.is_head("本文の行", title, least=2)
+    assert scan_noise.is_head("【第2章】 年 次 報告 3", None, frozenset({scan_noise.head_key("年次報告 12")})) is False
+    assert scan_noise.is_head("年 次 報告 4", None, frozenset({scan_noise.head_key("年次報告 3")}))
     assert not scan_noise.is_head("白取岡", title) and not scan_noise.is_head("白取野図書館", title) and not scan_noise.is_head("白取岡図書館の", title)
-    judge = scan_noise.Judge({}, ())
-    assert scan_noise.noise_of_paragraph("地区の\n9\n白取岡図書\nロボットを", title, judge) == (["running_head", "page_no"], "地区のロボットを")
-    assert scan_noise.noise_of_line("白取岡図書", title, 185.0, 12.0, "text", judge) == (["running_head"], "")
-    assert scan_noise.noise_of_line("白取岡図書", title, 185.0, 12.0, "table", judge)[0] == []
+    judge = misreads.Judge({}, misreads.Lexicon({}, []))
+    assert scan_noise.noise_of_paragraph("地区の\n9\n白取岡図書\nロボットを", title, None, judge) == (["running_head", "page_no"], "地区のロボットを")
+    assert scan_noise.noise_of_line("白取岡図書", title, None, 185.0, 12.0, "text", judge) == (["running_head"], "")
+    assert scan_noise.noise_of_line("白取岡図書", title, None, 185.0, 12.0, "table", judge)[0] == []
+    assert scan_noise.noise_of_line("本文の最初の行である。", title, None, 20.0, 10.0, "text", judge) == ([], "本文の最初の行である。")
+    assert scan_noise.noise_of_line("館内報", title, frozenset({"館内報"}), 20.0, 10.0, "text", judge) == (["running_head"], "")
+
+
+LETTERS = [("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("c", "e"), ("rn", "m")]
 
 
 def test_misread_words():
     wrong = {("m", "倉", "に", "康"): "庫"}
-    judge = scan_noise.Judge(wrong, (("additional", 50), ("installation", 50), ("addrtional", 1)))
+    judge = misreads.Judge(wrong, misreads.Lexicon({"additional": 50, "installation": 50, "temperature": 90}, LETTERS))
     fix = lambda s, e=False: scan_noise.apply_repairs(s, judge.repairs(s, e))
-    assert fix("倉康に additi0na1 in5tallation") == "倉庫に additional installation"
+    assert fix("倉康に additi0na1 in5tallation ternperature") == "倉庫に additional installation temperature"
     assert fix("健康に additional") == "健康に additional"
     assert fix("2O21年 1B台 KB1998 35l台") == "2021年 18台 KB1998 351台"
-    assert fix("llation", True) == "llation" and fix("1lation", True) == "llation"
-    assert scan_noise.noise_of_line("12", None, 800.0, 9.0, "table", judge)[0] == [] and scan_noise.noise_of_line("12", None, 800.0, 9.0, "text", judge)[0] == ["page_no"]
+    assert fix("llation", True) == "llation" and fix("1lation", True) == "llation" and fix("ternper", True) == "temper"
+    assert scan_noise.noise_of_line("12", None, None, 800.0, 9.0, "table", judge)[0] == [] and scan_noise.noise_of_line("12", None, None, 800.0, 9.0, "text", judge)[0] == ["page_no"]
 
 
-def test_words_are_searched_when_the_cache_is_full():
-    class Full(dict):
-        def __len__(self):
-            return 1_000_000
+def test_words_of_any_length_and_many_exchanged_letters():
+    long = "electroencephalographicallysounding"
+    lexicon = misreads.Lexicon({long: 900, "oscilloscopes": 800, "zebra": 3}, LETTERS)
+    assert lexicon.correction(long[:9] + "x" + long[10:], False) == long and lexicon.correction(long.replace("o", "0").replace("l", "1"), False) == long
+    assert lexicon.correction("05c1110scope5", False) == "oscilloscopes"
+    assert lexicon.correction("x" * 5000, False) is None
 
-    lexicon = scan_noise.Lexicon({"inspection": 900})
-    lexicon.known = Full()
-    assert lexicon.correction("inspeetion", False) == "inspection" and not list(lexicon.known)
+
+def test_words_are_searched_when_the_cache_is_full():
+    judge = misreads.Judge({}, misreads.Lexicon({"inspection": 900, "zebra": 3}, LETTERS))
+    judge.correction = misreads.lru_cache(maxsize=1)(judge.lexicon.correction)
+    for _ in range(2):
+        assert judge.correction("inspcction", False) == "inspection" and judge.correction("inspectiom", False) == "inspection"
 
 
 def test_plain_errors_in_words():
-    lexicon = scan_noise.Lexicon({"inspection": 900, "valve": 800, "generator": 700, "complete": 3})
-    assert lexicon.correction("inspextion", False) == "inspection" and lexicon.correction("insp3ction", False) == "inspection" and lexicon.correction("genertor", False) == "generator"
+    lexicon = misreads.Lexicon({"inspection": 900, "valve": 800, "generator": 700, "complete": 3, "procedure": 900, "temperature": 900}, LETTERS)
+    for read, printed in (("inspextion", "inspection"), ("insp3ction", "inspection"), ("genertor", "generator"), ("procadure", "procedure"), ("procdure", "procedure"), ("proccedure", "procedure"), ("temparature", "temperature"), ("proeedure", "procedure")):
+        assert lexicon.correction(read, False) == printed
     assert lexicon.correction("inspections", False) is None and lexicon.correction("valves", False) is None and lexicon.correction("compléte", False) is None
 
 
+@given(st.text("abcd1", min_size=3, max_size=9), st.lists(st.text("abcd", min_size=4, max_size=9), min_size=1, max_size=8, unique=True))
+def test_index_finds_all_words_within_two_edits(word, names):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    index = misreads.Index({n: 1 for n in names})
+    assert {n for n in names if n != word and edits(word, n) <= 2} <= index.near(word)
+    assert misreads.distance(word, names[0], {}) == edits(word, names[0])
+
+
+def test_differences():
+    assert misreads.differences("additi0na1", "additional") == [("0", "o"), ("1", "l")] and misreads.differences("modern", "modem") == [("rn", "m")]
+    assert misreads.differences("valves", "valve") == [] and misreads.differences("abc", "xyz") == []
+
+
 def test_sentences_are_linked_anywhere():
     import numpy as np
 
