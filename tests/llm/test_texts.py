@@ -166,7 +166,7 @@ def test_words_of_any_length_and_many_exchanged_letters():
     long = "electroencephalographicallysounding"
     lexicon = misreads.Lexicon({long: 900, "oscilloscopes": 800, "zebra": 3}, LETTERS)
     assert lexicon.correction(long[:9] + "x" + long[10:], False) == long and lexicon.correction(long.replace("o", "0").replace("l", "1"), False) == long
-    assert lexicon.correction("05c1110scope5", False) == "oscilloscopes"
+    assert lexicon.correction("o5c1110scope5", False) == "oscilloscopes"
     assert lexicon.correction("x" * 5000, False) is None
 
 
