@@ -21,6 +21,8 @@ from ..session import cut
 SPACE = "[ \\t\\r\\n\\u000b\\f\\u3000]+"
 #: Marks between a label and its value.
 SEPARATOR = "[：:・…/／＝=]+|[-－—―]+"
+#: A label: a short word without figures and marks.
+LABEL = "[^\\s\\d：:；;，,、。．・…/／＝=「」『』（）()\\-－—―]{1,8}"
 #: A label is learned if it has at least this share of all labels found; so there are at most 1 / share.
 LABEL_SHARE = 0.005
 HOT_SHARE = 1000
@@ -46,11 +48,26 @@ def learn_labels(texts: DataFrame, text_col: str = "text", share: float = LABEL_
     return sorted((r.w for r in kept), key=lambda w: (-len(w), w))
 
 
+def _own_fields(text: Column) -> Column:
+    """The label and value of each field of a text that is a form by its own structure, whatever its labels, sorted; else null."""
+    pieces = F.filter(F.split(text, "[；;，,、\\n\\t]+"), lambda x: F.trim(F.regexp_replace(x, SPACE, "")) != "")
+    flat = F.transform(pieces, lambda x: F.regexp_replace(x, SPACE, ""))
+    is_field = f"^{LABEL}(?:{SEPARATOR})[^：:]+$"
+    value = lambda x: F.concat(F.regexp_extract(x, f"^({LABEL})", 1), F.lit("\u0003"), squeeze(F.regexp_replace(x, f"^{LABEL}(?:{SEPARATOR})", "")))
+    return F.when((F.size(flat) >= 2) & F.forall(flat, lambda x: x.rlike(is_field)), F.array_join(F.array_sort(F.transform(flat, value)), "\u0004"))
+
+
 def canonical_key(text: Column, labels: list[str]) -> Column:
-    """The text without formatting; a form's fields are sorted. Null stays null."""
+    """The text without formatting; a form's fields are sorted. Null stays null.
+
+    Fields are found by the corpus's frequent ``labels``, also where nothing but these marks their beginning; a text in which
+    none of them stands twice is a form too if all its parts are a label, a separator and a value.
+    """
     flat = F.regexp_replace(text, SPACE, "")
+    own = F.when(text.rlike("[；;，,、\\n\\t]") & text.rlike(f"(?:{SEPARATOR})"), _own_fields(text))
+    plain = F.coalesce(F.concat(F.lit("\u0005"), own), squeeze(flat))
     if not labels:
-        return squeeze(flat)
+        return plain
     names = "|".join(f"\\Q{w}\\E" for w in labels)
     fields = F.split(flat, f"(?=(?:{names})(?:{SEPARATOR}))")
     is_field = f"^(?:{names})(?:{SEPARATOR})"
@@ -59,7 +76,7 @@ def canonical_key(text: Column, labels: list[str]) -> Column:
     body = F.array_join(F.array_sort(F.transform(F.filter(fields, lambda x: x.rlike(is_field)), value)), "\u0004")
     count = F.size(F.filter(fields, lambda x: x.rlike(is_field)))
     may_be_form = flat.rlike(f"(?:{names})(?:{SEPARATOR}).*(?:{names})(?:{SEPARATOR})")
-    return F.when(may_be_form & (count >= 2), F.concat(squeeze(head), F.lit("\u0005"), body)).otherwise(squeeze(flat))
+    return F.when(may_be_form & (count >= 2), F.concat(squeeze(head), F.lit("\u0005"), body)).otherwise(plain)
 
 
 def keyed_rows(df: DataFrame, id_col: str, text_col: str, labels: list[str]) -> DataFrame:

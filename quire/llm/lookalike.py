@@ -196,14 +196,40 @@ def digests(df: DataFrame, id_col: str, text_col: str, frequency: dict[str, int]
     return rows.select("row_id", digest("_c").alias("form"), digest("_t").alias("text_key"), (F.col("_c") != F.col("_t")).alias("changed"))
 
 
-def equal_looking_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+HOT_SHARE, SALTS = 1000, 64
+
+
+def equal_looking_pairs(rows: DataFrame, keys: list[str], share: int = HOT_SHARE, salts: int = SALTS) -> DataFrame:
     """Pairs id_a < id_b of rows of equal ``keys`` and form whose texts differ.
 
     Two unchanged texts of one form are the same text, so every pair has a changed row; only these are one side
-    of the join, which keeps large groups of equal texts off it.
+    of the join, which keeps large groups of equal texts off it. Forms with at least 1 / ``share`` of all rows (at most
+    ``share`` of them, so they are broadcast) are spread over ``salts``: each of their rows goes to one salt, the changed
+    ones to all. ``rows`` should be a table or a checkpoint.
     """
     on = [*keys, "form"]
-    left = rows.where("changed").select(*on, F.col("row_id").alias("_a"), F.col("text_key").alias("_ta"))
-    right = rows.select(*on, F.col("row_id").alias("_b"), F.col("text_key").alias("_tb"), F.col("changed").alias("_changed"))
-    pairs = left.join(right, on).where("_ta != _tb and (not _changed or _a < _b)")
+    hot = F.broadcast(rows.groupBy(*on).count().where(F.col("count") >= max(2, rows.count() / share)).select(*on, F.lit(True).alias("_hot")))
+    marked = rows.join(hot, on, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = marked.where("changed").select(*on, F.col("row_id").alias("_a"), F.col("text_key").alias("_ta"), F.explode(every).alias("_salt"))
+    own = F.when(F.col("_hot"), F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    right = marked.select(*on, F.col("row_id").alias("_b"), F.col("text_key").alias("_tb"), F.col("changed").alias("_changed"), own.alias("_salt"))
+    pairs = left.join(right, [*on, "_salt"]).where("_ta != _tb and (not _changed or _a < _b)")
     return pairs.select(*keys, F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
+
+
+def look_alike_groups(rows: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """``keys``, row_id, class_id (the smallest id of its form) and n_links (rows of the form with another text) of every row that has links.
+
+    The pairs are counted, not made: the result has one row for each row of ``rows`` at most, however large a form is.
+    Counting is combined map-side; rows of texts with at least 1 / ``share`` of all rows get their class by broadcast.
+    """
+    texts = rows.groupBy(*keys, "form", "text_key").agg(F.count("*").alias("_n"), F.min("row_id").alias("_least"))
+    forms = texts.groupBy(*keys, "form").agg(F.sum("_n").alias("_total"), F.min("_least").alias("class_id"), F.count("*").alias("_texts")).where("_texts > 1")
+    linked = texts.join(forms, [*keys, "form"]).select(*keys, "text_key", "_n", "class_id", (F.col("_total") - F.col("_n")).alias("n_links"))
+    often = F.col("_n") >= max(2, rows.count() / share)
+    hot = F.broadcast(linked.where(often).drop("_n").withColumn("_hot", F.lit(True)))
+    marked = rows.join(hot, [*keys, "text_key"], "left")
+    columns = [*keys, "row_id", "class_id", "n_links"]
+    cold = marked.where("_hot is null").select(*keys, "text_key", "row_id").join(linked.where(~often).drop("_n"), [*keys, "text_key"])
+    return marked.where("_hot").select(*columns).unionByName(cold.select(*columns))

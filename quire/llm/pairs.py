@@ -256,16 +256,24 @@ def learn_endings(pairs: DataFrame, answer_col: str = "answer", share: float = E
     return frozenset(r.e for r in ends.where(F.col("count") >= max(1, total * share)).select("e").collect())
 
 
-def find_defects(pairs: DataFrame, labels: list[str], endings: frozenset[str], keep: list[str]) -> DataFrame:
+class DefectModel:
+    """What ``classify`` needs to know of the corpus: field labels and field endings."""
+
+    def __init__(self, labels: list[str], endings: frozenset[str]):
+        self.labels, self.endings = labels, endings
+        self.pattern = re.compile(f"(?:{'|'.join(map(re.escape, labels))}){SEPARATOR}") if labels else None
+
+    def defect(self, prompt: str | None, answer: str | None) -> str | None:
+        return classify(prompt, answer, self.pattern, self.endings)
+
+
+def find_defects(pairs: DataFrame, model: DefectModel, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``defect`` of the defective rows of ``pairs`` (columns prompt and answer). Map-side only."""
-    names = "|".join(re.escape(w) for w in labels)
-    pattern = f"(?:{names}){SEPARATOR}" if names else None
     schema = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = re.compile(pattern) if pattern else None
         for batch in batches:
-            found = [classify(p, a, compiled, endings) for p, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = [model.defect(p, a) for p, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             at = pa.array([i for i, d in enumerate(found) if d], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(2, batch.num_columns)), pa.array([d for d in found if d], pa.string())], [*keep, "defect"])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +36,15 @@ def _prompts_and_answers(spark: SparkSession, base: str) -> DataFrame:
     return of_cache.unionAll(of_paras)
 
 
-def _defects(spark: SparkSession, base: str) -> DataFrame:
-    both = _prompts_and_answers(spark, base)
-    labels = formatting_copies.learn_labels(both, "prompt")
-    endings = pairs.learn_endings(both)
-    return pairs.find_defects(both, labels, endings, ["src_table", "row_id", "doc_id", "page_num"])
+def _defect_model(both: DataFrame) -> pairs.DefectModel:
+    """The model by which p1_found and p3_found judge alike."""
+    return pairs.DefectModel(formatting_copies.learn_labels(both, "prompt"), pairs.learn_endings(both))
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """Defective answers: src_table, row_id, defect. The pages are joined to the defects alone."""
-    found = cut(_defects(spark, base))
+    both = _prompts_and_answers(spark, base)
+    found = cut(pairs.find_defects(both, _defect_model(both), ["src_table", "row_id", "doc_id", "page_num"]))
     on_pages = found.where("src_table = 'ocr_paragraphs'").join(translated_pages(spark, base), ["doc_id", "page_num"], "left_semi")
     return found.where("src_table = 'translation_cache'").select("src_table", "row_id", "defect").unionAll(on_pages.select("src_table", "row_id", "defect"))
 
@@ -76,20 +74,13 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     The table is estimated over all translated paragraphs, also those whose sentences are not asked for.
     """
     rows = table(spark, base, "ocr_paragraphs").select("id", "doc_id", "page_num", F.col("text").alias("source"), F.col("translated_text").alias("target"))
-    rows = rows.where(F.col("target").rlike("[\\u3400-\\u9fff]"))
+    rows = rows.where(F.col("target").rlike("[\\u3400-\\u9fff\\uf900-\\ufaff]"))
     encoded = cut(alignment.encode_units(rows))
     source, target, info = alignment.unit_frequency(encoded)
     counts = alignment.learn_table(encoded, source, target)
     rows = rows.where((F.length("source") <= 700) & F.col("source").rlike("[。．！？]"))
-    both = _prompts_and_answers(spark, base)
-    labels, endings = formatting_copies.learn_labels(both, "prompt"), pairs.learn_endings(both)
-    names = "|".join(re.escape(w) for w in labels)
-    label_pattern = re.compile(f"(?:{names}){pairs.SEPARATOR}") if names else None
-
-    def defective(s: str, t: str) -> bool:
-        return pairs.classify(s, t, label_pattern, endings) is not None
-
-    links = cut(alignment.align_pairs(rows, source, target, info, counts, ["id", "doc_id", "page_num"], defective))
+    model = _defect_model(_prompts_and_answers(spark, base))
+    links = cut(alignment.align_pairs(rows, source, target, info, counts, ["id", "doc_id", "page_num"], lambda s, t: model.defect(s, t) is not None))
     on_pages = links.join(translated_pages(spark, base), ["doc_id", "page_num"], "left_semi")
     return on_pages.select(F.col("id").alias("para_id"), F.col("source_sentence").alias("ja_sent"), F.col("target_sentence").alias("zh_sent"))
 
@@ -167,6 +158,11 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.equal_looking_pairs(cut(_look_alike_rows(spark, base)), ["src_table"]).select("src_table", "id_a", "id_b")
 
 
+def p6_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Class and number of links of every row that looks like a row of other code points: src_table, row_id, class_id, n_links."""
+    return lookalike.look_alike_groups(cut(_look_alike_rows(spark, base)), ["src_table"])
+
+
 def p6_forms(spark: SparkSession, base: str) -> DataFrame:
     """Every text in its consistent form."""
     blocks, cache = table(spark, base, "blocks"), table(spark, base, "translation_cache")
@@ -205,7 +201,7 @@ def p9_profile(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_forms, p7_ids, p8_containers, p9_found, p9_profile)
+    f.__name__: f for f in (p1_found, p2_found, p2_records, p3_found, p4_found, p4_repaired, p4_paragraphs, p5_found, p5_pieces, p6_found, p6_classes, p6_forms, p7_ids, p8_containers, p9_found, p9_profile)
 }
 
 #: Queries of this package that SQL can express on whole tables.

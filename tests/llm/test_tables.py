@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm import alignment, encoding, formatting_copies, lookalike, misreads, packing, pairs, queries, reading_level, scan_noise, splitting
@@ -28,6 +29,13 @@ def test_formatting_copies(spark):
     assert records[3] == 2 and sum(records.values()) == len(rows) - 2
 
 
+def test_forms_with_rare_labels(spark):
+    rows = [(1, "塗色：青；耐圧：1.5mpa；納期：3日"), (2, "納期--3日\n塗色--青、耐圧--1.5MPa"), (3, "塗色：青；耐圧：15mpa；納期：3日"), (4, "塗色：3日；耐圧：1.5mpa；納期：青"), (5, "赤、青、黄"), (6, "青、赤、黄"), (7, "A・B、C・D"), (8, "塗色：青")]
+    found, _ = copies(spark, rows, labels=("品名",))
+    assert found == {(1, 2)}
+    assert copies(spark, rows, labels=())[0] == {(1, 2)}
+
+
 def test_copies_with_hot_keys_equal_plain_grouping(spark):
     rnd = random.Random(5)
     rows = [(i, rnd.choice(["a", "a", "a", "b"]) + "。" * rnd.randint(0, 2) + (str(i) if rnd.random() < 0.3 else "")) for i in range(400)]
@@ -55,6 +63,27 @@ def test_look_alike_pairs(spark):
     out = lookalike.equal_looking_pairs(lookalike.digests(df, "id", "text", freq).withColumn("s", F.lit(1)), ["s"]).collect()
     assert sorted((r.id_a, r.id_b) for r in out) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (7, 9)]
     assert lookalike.member_frequency(df.limit(0), "text") == {}
+    assert lookalike.equal_looking_pairs(lookalike.digests(df.limit(0), "id", "text", freq), []).count() == 0
+
+
+def test_hot_forms_equal_plain_pairs(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["A-1", "A-1", "A-1", "Ａ-1", "А-1", "B", "Ｂ", "C"])) for i in range(120)] + [(7, "A-1"), (200, None)]
+    df = spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], TEXTS)
+    freq = lookalike.member_frequency(df, "text")
+    look = {"Ａ-1": "A-1", "А-1": "A-1", "Ｂ": "B"}
+    known = [(i, t, look.get(t, t)) for i, t in rows if t]
+    pairs_ = sorted((min(a[0], b[0]), max(a[0], b[0])) for k, a in enumerate(known) for b in known[k + 1 :] if a[2] == b[2] and a[1] != b[1])
+    keyed = lookalike.digests(df, "id", "text", freq).withColumn("s", F.lit(1))
+    for share in (2, 1000):
+        assert sorted((r.id_a, r.id_b) for r in lookalike.equal_looking_pairs(keyed, ["s"], share, 3).collect()) == pairs_
+        links = sorted((r.row_id, r.class_id, r.n_links) for r in lookalike.look_alike_groups(keyed, ["s"], share).collect())
+        expected = []
+        for i, t, f in known:
+            n = sum(g == f and u != t for _, u, g in known)
+            if n:
+                expected.append((i, min(j for j, _, g in known if g == f), n))
+        assert links == sorted(expected) and sum(n for _, _, n in links) == 2 * len(pairs_)
 
 
 def test_packing_equals_plain_first_fit(spark):
@@ -99,7 +128,7 @@ def test_splitting_of_a_table(spark):
 
 def test_defects_of_a_table(spark):
     df = spark.createDataFrame([("番号は1である。", "", 1), (None, "x", 2), ("番号は1である。", "编号为1。", 3), ("番号は1である。", None, 1)], "prompt string, answer string, row_id bigint")
-    assert [(r.row_id, r.defect) for r in pairs.find_defects(df, [], pairs.learn_endings(df), ["row_id"]).collect()] == [(1, "empty"), (1, "empty")]
+    assert [(r.row_id, r.defect) for r in pairs.find_defects(df, pairs.DefectModel([], pairs.learn_endings(df)), ["row_id"]).collect()] == [(1, "empty"), (1, "empty")]
     assert pairs.learn_endings(df.limit(0)) == frozenset()
 
 
@@ -117,8 +146,22 @@ def test_alignment_of_tables(spark):
     counts = alignment.learn_table(encoded, source, target)
     links = {(r.source_sentence, r.target_sentence) for r in alignment.align_pairs(df, source, target, info, counts, ["id"]).collect()}
     assert links == {(1, 2), (2, 1)}
+    # the counts equal those of plain expectation-maximization over dense matrices
+    pairs_of_codes = [(np.frombuffer(r.s, np.uint32), np.frombuffer(r.t, np.uint32)) for r in encoded.collect()]
+    table = np.ones((len(source), len(target)))
+    for _ in range(alignment.ITERATIONS):
+        plain = np.zeros_like(table)
+        for s, t in pairs_of_codes:
+            at = np.ix_([source.index(x) for x in s if x in source], [target.index(x) for x in t if x in target])
+            plain[at] += table[at] / (table[at].sum(0) + 1e-9)
+        plain[plain < alignment.LEAST_SHARE * plain.sum(1, keepdims=True)] = 0
+        table = plain / plain.sum(1, keepdims=True)
+    got = np.zeros_like(plain)
+    got[counts[0], counts[1]] = counts[2]
+    assert np.allclose(got, plain, rtol=1e-3, atol=1e-3)
     none = alignment.encode_units(df.limit(0))
-    assert alignment.unit_frequency(none) == ([], [], {}) and alignment.learn_table(none, [], []).shape == (0, 0)
+    assert alignment.unit_frequency(none) == ([], [], {}) and [len(x) for x in alignment.learn_table(none, [], [])] == [0, 0, 0]
+    assert alignment.align_pairs(df, [], [], {}, alignment.NO_COUNTS, ["id"]).count() == 0
 
 
 def test_all_translated_paragraphs_enter_the_statistics(spark, monkeypatch):

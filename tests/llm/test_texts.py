@@ -211,7 +211,8 @@ def test_sentences_are_linked_anywhere():
     counts = np.zeros((len(source), len(target)), np.float32)
     for a, b in zip("水門点検費用電池", "水闸检查费用电池"):
         counts[source.index(ord(a)), target.index(ord(b))] = 10
-    table = alignment.Table(source, target, {}, counts)
+    rows, cols = np.nonzero(counts)
+    table = alignment.Table(source, target, {}, alignment.associations((rows, cols, counts[rows, cols]), len(source), len(target)))
     assert alignment.align("水門を点検した。費用は電池AB12345に。", "费用为电池AB12345。检查水闸。", table) == [(1, 2), (2, 1)]
     assert alignment.align("水門を点検した。費用は電池に。", "检查水闸，费用为电池。", table) == [(1, 1), (2, 1)]
     assert alignment.align("", "检查。", table) == [] and alignment.align("水門。", "", table) == []
