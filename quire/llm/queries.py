@@ -85,13 +85,16 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return on_pages.select(F.col("id").alias("para_id"), F.col("source_sentence").alias("ja_sent"), F.col("target_sentence").alias("zh_sent"))
 
 
-TITLE_SALTS = 16
+#: Volumes up to which their titles are broadcast (a title and at most 1 / HEAD_SHARE heads each); more are joined over salts.
+TITLE_ROWS, TITLE_SALTS = 50_000, 16
 
 
-def _with_titles(rows: DataFrame, titles: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` with title and heads of their volume; one volume may hold a third of all rows, so the volumes are repeated over salts."""
+def _with_titles(rows: DataFrame, titles: DataFrame, n_titles: int, id_col: str) -> DataFrame:
+    """``rows`` with title and heads of their volume. One volume may hold a third of all rows, so many volumes are repeated over salts."""
+    if n_titles <= TITLE_ROWS:
+        return rows.join(F.broadcast(titles), "doc_id", "left")
     salted = titles.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(TITLE_SALTS)))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(TITLE_SALTS)).cast("int")).join(salted, ["doc_id", "_salt"], "left")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(TITLE_SALTS)).cast("int")).join(salted, ["doc_id", "_salt"], "left").drop("_salt")
 
 
 def _noise(spark: SparkSession, base: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +109,8 @@ def _noise(spark: SparkSession, base: str, keep: tuple[str, ...] = ()) -> tuple[
     })
     heads = scan_noise.repeated_heads(lines)
     titles = cut(table(spark, base, "pdf_files").groupBy("doc_id").agg(F.min("title").alias("title")).join(heads, "doc_id", "full"))
-    lines = _with_titles(lines.select("block_id", "text", "top", "size", "block_type", *(("doc_id",) if not keep else keep)), titles, "block_id")
-    paras = _with_titles(paras.select("id", "doc_id", "text"), titles, "id")
+    lines = _with_titles(lines.select("block_id", "text", "top", "size", "block_type", *(("doc_id",) if not keep else keep)), titles, titles.count(), "block_id")
+    paras = _with_titles(paras.select("id", "doc_id", "text"), titles, titles.count(), "id")
     return scan_noise.find_noise(lines, judge, "block_id", False, keep), scan_noise.find_noise(paras, judge, "id", True)
 
 

@@ -237,6 +237,13 @@ def test_heads_by_repetition(spark):
     assert scan_noise.repeated_heads(df.limit(0)).count() == 0
 
 
+def test_titles_by_broadcast_and_over_salts(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, None), (5, 9)], "id bigint, doc_id bigint")
+    titles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id bigint, title string")
+    for n in (3, queries.TITLE_ROWS + 1):
+        assert sorted((r.id, r.title) for r in queries._with_titles(rows, titles, n, "id").collect()) == [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None)]
+
+
 def test_cut_words_are_joined_over_lines(spark):
     rows = [(1, ["hyphen"], "the temper-", 1, 0.0, 0.0, 90.0, 10.0), (2, [], "ature of it", 1, 0.0, 12.0, 90.0, 22.0), (3, [], "other column", 1, 200.0, 12.0, 290.0, 22.0), (4, ["hyphen"], "at stan-", 2, 0.0, 0.0, 90.0, 10.0), (5, [], "番号", 2, 0.0, 12.0, 90.0, 22.0), (6, [], None, 1, None, None, None, None)]
     df = spark.createDataFrame(rows, "row_id bigint, kinds array<string>, repaired string, page_num bigint, x0 double, y0 double, x1 double, y1 double").withColumn("doc_id", F.lit(1))
