@@ -115,17 +115,25 @@ def width_parts(text: str | None, widths: list[float], heights: list[float], min
     return parts
 
 
-def _proportional(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else proportional_parts(a, [int(x or 0) for x in b]) for a, b in zip(t, n)])
-
-
 def _by_width(t: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else width_parts(a, list(b), list(c)) for a, b, c in zip(t, w, h)])
 
 
 def split_proportionally(text: Column, lengths: Column) -> Column:
-    """``proportional_parts`` over Arrow batches."""
-    return F.pandas_udf(_proportional, "array<string>")(text, lengths)
+    """``proportional_parts`` as one fold over the array of lengths, in the JVM.
+
+    What does not change is worked out once and carried along, as an expression inside the fold runs for every element.
+    """
+    total = F.greatest(F.lit(1).cast("bigint"), F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.size(lengths).alias("n"), total.alias("total"), F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<string>").alias("parts"))
+
+    def step(a: Column, x: Column) -> Column:
+        size = F.length(a["text"])
+        end = F.when(a["k"] + 1 == a["n"], size).otherwise(F.least(a["at"] + F.floor(size * F.coalesce(x, F.lit(0)) / a["total"]).cast("int"), size))
+        part = F.substring(a["text"], a["at"] + 1, end - a["at"])
+        return F.struct(end.alias("at"), (a["k"] + 1).alias("k"), a["n"].alias("n"), a["total"].alias("total"), a["text"].alias("text"), F.concat(a["parts"], F.array(part)).alias("parts"))
+
+    return F.aggregate(lengths, start, step, lambda a: a["parts"])
 
 
 def split_by_width(text: Column, widths: Column, heights: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -44,58 +47,72 @@ def dedup_image_boxes(images: DataFrame, least: float = 24.0, order: str = "imag
     return images.where((a.width >= least) & (a.height >= least)).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def _ordered_boxes(*extra: Column) -> Column:
-    return F.sort_array(F.collect_list(F.struct(F.col("y0"), F.col("x0"), F.col("block_idx"), F.col("x1"), F.col("y1"), F.coalesce("text", F.lit("")).alias("text"), "source", "font_size", *extra)))
+Block = tuple[float, float, float, float, str, str, float]  # box, text, source, font size
+BLOCK_COLUMNS = ["x0", "y0", "x1", "y1", "text", "source", "font_size"]
+
+
+def _by_page(blocks: DataFrame, fold: Callable[[list[Block]], list[Block]]) -> DataFrame:
+    """``fold`` over the boxes of each page in order (y0, x0): doc_id, page_num, block_idx, box, text, source, font_size. One shuffle."""
 
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([(c, "ascending") for c in ("y0", "x0", "block_idx")])
+        rows = fold(list(zip(*(part.column(c).to_pylist() for c in BLOCK_COLUMNS))))
+        n = len(rows)
+        kinds = [pa.float64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.Table.from_arrays([*(pa.array([part.column(c)[0].as_py()] * n, pa.int64()) for c in PAGE), pa.array(range(n), pa.int32()), *columns], [*PAGE, "block_idx", *BLOCK_COLUMNS])
 
-BOX = "struct<x0:double,y0:double,x1:double,y1:double,text:string,source:string,font_size:double>"
+    own = blocks.select(*PAGE, "block_idx", "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"), "source", "font_size")
+    return own.groupBy(*PAGE).applyInArrow(run, "doc_id bigint, page_num bigint, block_idx int, x0 double, y0 double, x1 double, y1 double, text string, source string, font_size double")
 
 
-def _as_box(b: Column) -> Column:
-    return F.struct(*(b[n].alias(n) for n in ("x0", "y0", "x1", "y1", "text", "source", "font_size")))
+def merge_neighbours(rows: list[Block], x_gap: float = 5.0, y_within: float = 3.0) -> list[Block]:
+    out: list[Block] = []
+    for b in rows:
+        if out:
+            last = out[-1]
+            if abs(b[1] - last[1]) < y_within and abs(b[3] - last[3]) < y_within and 0 < b[0] - last[2] < x_gap:
+                out[-1] = (last[0], min(last[1], b[1]), max(last[2], b[2]), max(last[3], b[3]), last[4] + b[4], last[5], 0.0)
+                continue
+        out.append(b)
+    return out
 
 
 def merge_horizontally(blocks: DataFrame, x_gap: float = 5.0, y_within: float = 3.0) -> DataFrame:
     """Join neighbours on one line whose gap is positive and below ``x_gap``; judged against the box merged so far.
 
-    One shuffle by page, a fold over the page's sorted boxes in the JVM. A merged box has no font size.
+    A merged box has no font size.
     """
-    start = F.array().cast(f"array<{BOX}>")
-
-    def step(done: Column, b: Column) -> Column:
-        last = F.element_at(done, -1)
-        gap = b["x0"] - last["x1"]
-        joins = (F.abs(b["y0"] - last["y0"]) < y_within) & (F.abs(b["y1"] - last["y1"]) < y_within) & (gap > 0) & (gap < x_gap)
-        merged = F.struct(last["x0"].alias("x0"), F.least(last["y0"], b["y0"]).alias("y0"), F.greatest(last["x1"], b["x1"]).alias("x1"), F.greatest(last["y1"], b["y1"]).alias("y1"), F.concat(last["text"], b["text"]).alias("text"), last["source"].alias("source"), F.lit(0.0).alias("font_size"))
-        return F.when(F.size(done) == 0, F.array(_as_box(b))).when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(_as_box(b))))
-
-    pages = blocks.groupBy(*PAGE).agg(_ordered_boxes().alias("boxes"))
-    return pages.select(*PAGE, F.posexplode(F.aggregate("boxes", start, step)).alias("block_idx", "b")).select(*PAGE, "block_idx", "b.*")
+    return _by_page(blocks, lambda rows: merge_neighbours(rows, x_gap, y_within))
+
+
+def drop_doubles(rows: list[Block], threshold: float = 0.3) -> list[Block]:
+    """The sweep of ``merge_engines``: boxes that end above the current one are no longer compared."""
+    kept: list[Block] = []
+    near: list[int] = []
+    for b in rows:
+        near = [k for k in near if kept[k][3] > b[1]]
+        for k in near:
+            a = kept[k]
+            wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            least = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+            if wide > 0 and high > 0 and least > 0 and wide * high / least > threshold:
+                if len(b[4]) > len(a[4]):
+                    kept[k] = b
+                break
+        else:
+            near.append(len(kept))
+            kept.append(b)
+    return kept
 
 
 def merge_engines(blocks: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Union of recognition engines without doubles: of boxes that overlap by more than ``threshold`` of the smaller, the longer text stays.
 
     Boxes are taken in order (y0, x0); each is compared with the boxes kept so far, and a longer text replaces the
-    first that it overlaps in place. Order matters, so it is a fold over the page's boxes, in the JVM.
+    first that it overlaps in place.
     """
-    start = F.array().cast(f"array<{BOX}>")
-
-    def common(k: Column, b: Column) -> Column:
-        w, h = F.least(k["x1"], b["x1"]) - F.greatest(k["x0"], b["x0"]), F.least(k["y1"], b["y1"]) - F.greatest(k["y0"], b["y0"])
-        least = F.least((k["x1"] - k["x0"]) * (k["y1"] - k["y0"]), (b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
-        return F.when((w > 0) & (h > 0) & (least > 0), F.try_divide(w * h, least)).otherwise(F.lit(0.0))
-
-    def step(kept: Column, b: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: common(k, b) > threshold), True)
-        old = F.try_element_at(kept, at.cast("int"))
-        longer = F.length(b["text"]) > F.length(old["text"])
-        replaced = F.transform(kept, lambda k, i: F.when(i + 1 == at, _as_box(b)).otherwise(k))
-        return F.when(at == 0, F.concat(kept, F.array(_as_box(b)))).when(longer, replaced).otherwise(kept)
-
-    # the position test needs a null-free array, so an index of 0 is never looked up
-    pages = blocks.groupBy(*PAGE).agg(_ordered_boxes().alias("boxes"))
-    return pages.select(*PAGE, F.posexplode(F.aggregate("boxes", start, step)).alias("block_idx", "b")).select(*PAGE, "block_idx", "b.*")
+    return _by_page(blocks, lambda rows: drop_doubles(rows, threshold))
 
 
 def page_sizes(pages: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -1,20 +1,21 @@
 """Layout clustering: recursive cuts, lines, paragraphs, merging, classes and reading order.
 
-Steps whose result depends on the order of the boxes run once for each page in a grouped Arrow function (a page is
-bounded by its printed size); all others are window expressions or joins on the page.
+All of it depends on one page alone (which is bounded by its printed size), so ``layout_paragraphs`` lays out each page in
+one grouped Arrow function after one shuffle. The single steps also stand alone, as window expressions or joins on the page.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.text import ordered_concat, starts_paragraph
-from ..session import cut
+from ..functions.text import BLANK, BULLETS, ordered_concat, starts_paragraph
 from .boxes import PAGE
 
 Rect = tuple[float, float, float, float]
@@ -254,25 +255,121 @@ def order_pages(boxes: DataFrame, id_col: str) -> DataFrame:
     return boxes.select(*PAGE, id_col, "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInArrow(run, f"doc_id bigint, page_num bigint, {id_col} {kind}, reading_no int")
 
 
+_NUMBERED = re.compile(f"(?:\\([0-9]{{1,2}}\\)|[0-9]{{1,2}}[.)]|[\u2460-\u2473\u2776-\u277f])(?:[\\s\u3000]|$)|[{BULLETS}]")
+_LEADING = re.compile(f"^{BLANK}+")
+
+
+def opens_paragraph(text: str) -> bool:
+    """``starts_paragraph`` of one text."""
+    bare = _LEADING.sub("", text)
+    return bare != "" and (text.startswith(("\u3000", "  ")) or _NUMBERED.match(bare) is not None)
+
+
+def split_lines(rects: list[Rect], texts: list[str]) -> list[int]:
+    """Paragraph number of each line of a region, by the rules of ``break_paragraphs``."""
+    if not rects:
+        return []
+    heights = [r[3] - r[1] for r in rects]
+    gaps = [b[1] - a[3] for a, b in zip(rects, rects[1:])]
+    mean, left, right = sum(heights) / len(heights), min(r[0] for r in rects), max(r[2] for r in rects)
+    positive = [g for g in gaps if g >= 0]
+    limit = max(mean * 0.5, (sum(positive) / len(positive) if positive else mean * 0.25) * 1.4, 5.0)
+    broad, out = right - left > mean * 2.5, [0]
+    for k in range(1, len(rects)):
+        gap, before, h = gaps[k - 1], heights[k - 1], heights[k]
+        changed = before > 0 and h > 0 and max(before, h) / min(before, h) > 1.25
+        short = broad and right - rects[k - 1][2] > mean and gap > 0
+        indent = broad and rects[k][0] - left > mean * 0.4 and abs(rects[k - 1][0] - left) < mean * 0.5
+        out.append(out[-1] + (opens_paragraph(texts[k]) or gap > limit or changed or short or indent))
+    return out
+
+
+def joined_pairs(rects: list[Rect], median: float) -> list[tuple[int, int]]:
+    """Pairs of paragraph boxes that belong together, by the rules of ``merge_edges``."""
+    if len(rects) < 2:
+        return []
+    a = np.array(rects, float)
+    at, to = np.triu_indices(len(a), 1)
+    a, b = a[at], a[to]
+    wide, high = np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1])
+    width, height = (np.stack([x[:, k + 2] - x[:, k] for x in (a, b)]) for k in (0, 1))
+    common = np.where((wide > 0) & (high > 0), wide * high, 0.0)
+    area = width * height
+    ratio = lambda part, whole: np.divide(part, whole, out=np.zeros_like(part), where=whole > 0)
+    x_ratio = np.maximum(wide, 0) / np.minimum(*np.maximum(1.0, width))
+    y_ratio = np.maximum(high, 0) / np.minimum(*np.maximum(1.0, height))
+    apart = lambda k: np.maximum(0.0, np.maximum(b[:, k] - a[:, k + 2], a[:, k] - b[:, k + 2]))
+    joined = (
+        (ratio(common, area.sum(0) - common) > 0.12) | (ratio(common, area.min(0)) > 0.60)
+        | ((x_ratio >= 0.55) & (apart(1) <= max(6.0, median * 0.65)))
+        | ((y_ratio >= 0.55) & (apart(0) <= max(8.0, median * 0.75)))
+    )
+    return list(zip(at[joined].tolist(), to[joined].tolist()))
+
+
+def _union(rects: list[Rect]) -> Rect:
+    return min(r[0] for r in rects), min(r[1] for r in rects), max(r[2] for r in rects), max(r[3] for r in rects)
+
+
+def lay_out_page(rects: list[Rect], texts: list[str], width: float, height: float, wide: float = 0.45) -> list[list[int]]:
+    """Boxes of a page (in order of block_idx) to merged paragraphs in reading order, each with its boxes in order."""
+    paragraphs: list[list[int]] = []
+    for region in cut_regions(rects, width, height, wide):
+        lines = [[region[k] for k in line] for line in text_lines([rects[i] for i in region])]
+        numbers = split_lines([_union([rects[i] for i in line]) for line in lines], ["".join(texts[i] for i in line) for line in lines])
+        own: list[list[int]] = [[] for _ in range(numbers[-1] + 1 if numbers else 0)]
+        for number, line in zip(numbers, lines):
+            own[number] += line
+        paragraphs += own
+    if len(paragraphs) == 1:
+        return paragraphs  # a page of one paragraph keeps its line order
+    boxes = [_union([rects[i] for i in p]) for p in paragraphs]
+    label = _components(len(boxes), joined_pairs(boxes, _median([rects[i][3] - rects[i][1] for p in paragraphs for i in p])))
+    groups: dict[int, list[tuple[float, float, int, int]]] = {}
+    for k, p in enumerate(paragraphs):
+        groups.setdefault(label[k], []).extend((rects[i][1], rects[i][0], k, i) for i in p)
+    merged = [[i for _, _, _, i in sorted(groups[root])] for root in sorted(groups)]
+    return [merged[k] for k in reading_order([_union([rects[i] for i in m]) for m in merged])]
+
+
+LINE = "struct<text:string,x0:double,y0:double,x1:double,y1:double,font_size:double>"
+
+
+def lay_out_pages(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, page_num, para_idx (reading order) and lines array<struct> of the merged paragraphs of each page, and the page's size.
+
+    One shuffle by page; boxes without height are left out, as in line detection.
+    """
+    line = pa.struct([("text", pa.string()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1", "font_size"))])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("block_idx")
+        rects, texts, fonts = _rects(part), [x or "" for x in part.column("text").to_pylist()], part.column("font_size").to_pylist()
+        width, height = (part.column(c)[0].as_py() or 0.0 for c in ("width", "height"))
+        found = lay_out_page(rects, texts, width, height)
+        lines = [[{"text": texts[i], "x0": rects[i][0], "y0": rects[i][1], "x1": rects[i][2], "y1": rects[i][3], "font_size": fonts[i]} for i in p] for p in found]
+        n = len(found)
+        columns = [*(pa.array([part.column(c)[0].as_py()] * n, pa.int64()) for c in PAGE), pa.array(range(n), pa.int32()), pa.array(lines, pa.list_(line)), pa.array([width] * n, pa.float64()), pa.array([height] * n, pa.float64())]
+        return pa.Table.from_arrays(columns, [*PAGE, "para_idx", "lines", "width", "height"])
+
+    own = blocks.select(*PAGE, "block_idx", "x0", "y0", "x1", "y1", "text", "font_size")
+    schema = f"doc_id bigint, page_num bigint, para_idx int, lines array<{LINE}>, width double, height double"
+    return own.join(sizes, PAGE, "left").groupBy(*PAGE).applyInArrow(run, schema)
+
+
+def paragraphs_of(pages: DataFrame) -> DataFrame:
+    """Classified paragraphs of ``lay_out_pages``: reading_no, layout_type, text, box, n_lines, font_size."""
+    item = lambda c: F.transform("lines", lambda x: x[c])
+    fonts = F.filter(F.transform("lines", lambda x: F.when(x["font_size"] > 0, x["font_size"]).otherwise(x["y1"] - x["y0"])), lambda x: x > 0)
+    mean = F.when(F.size(fonts) > 0, F.aggregate(fonts, F.lit(0.0), lambda a, x: a + x) / F.size(fonts)).otherwise(F.lit(0.0))
+    rows = pages.select(*PAGE, F.col("para_idx").alias("reading_no"), F.array_join(item("text"), "").alias("text"), F.array_min(item("x0")).alias("x0"), F.array_min(item("y0")).alias("y0"), F.array_max(item("x1")).alias("x1"), F.array_max(item("y1")).alias("y1"), F.size("lines").cast("bigint").alias("n_lines"), mean.alias("font_size"), "width", "height")
+    kind = g.layout_class(g.box(), F.col("width"), F.col("height"), F.col("font_size"), F.length("text"), F.col("n_lines"))
+    return rows.select(*PAGE, "reading_no", kind.alias("layout_type"), "text", "x0", "y0", "x1", "y1", "n_lines", "font_size")
+
+
 def layout_paragraphs(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     """Classified paragraphs of every page in reading order: reading_no, layout_type, text, box, n_lines, font_size."""
-    placed = lay_out_lines(blocks, sizes)
-    region = [*PAGE, "region_no"]
-    lines = placed.groupBy(*region, "line_no").agg(ordered_concat(F.col("box_no"), F.col("text")).alias("text"), *g.union_box())
-    broken = break_paragraphs(lines, region, ["line_no"]).select(*region, "line_no", "para_no")
-    boxes = placed.join(broken, [*region, "line_no"])
-    index = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("region_no", "para_no")) - 1
-    boxes = boxes.withColumn("para_idx", index.cast("int"))
-    # a page of one paragraph keeps its line order, else boxes are ordered by place
-    alone = F.max("para_idx").over(Window.partitionBy(*PAGE)) == 0
-    boxes = boxes.withColumns({"_o1": F.when(alone, F.col("line_no").cast("double")).otherwise(F.col("y0")), "_o2": F.when(alone, F.col("box_no").cast("double")).otherwise(F.col("x0"))})
-    boxes = cut(boxes)  # read four times below, while the grouped passes should run once
-    paragraphs = boxes.groupBy(*PAGE, "para_idx").agg(*g.union_box())
-    medians = boxes.groupBy(*PAGE).agg(g.upper_median(F.col("y1") - F.col("y0")).alias("median_height"))
-    merged = cut(merged_paragraphs(boxes, paragraphs, medians, ("_o1", "_o2", "para_idx", "block_idx")))
-    merged = merged.join(order_pages(merged, "group_idx"), [*PAGE, "group_idx"]).join(sizes, PAGE, "left")
-    kind = g.layout_class(g.box(), F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0)), F.col("font_size"), F.length("text"), F.col("n_lines"))
-    return merged.select(*PAGE, "reading_no", kind.alias("layout_type"), "text", "x0", "y0", "x1", "y1", "n_lines", "font_size")
+    return paragraphs_of(lay_out_pages(blocks, sizes))
 
 
 def page_gaps(blocks: DataFrame, sizes: DataFrame, axis: str) -> DataFrame:
@@ -313,7 +410,25 @@ def register_algorithm(name: str, algorithm: Callable[[DataFrame, DataFrame], Da
 
 
 def cluster(blocks: DataFrame, sizes: DataFrame, algorithm: str = "simple") -> DataFrame:
-    return ALGORITHMS.get(algorithm, ALGORITHMS["simple"])(blocks, sizes)
+    """Paragraphs by a registered algorithm; an unknown name is an error."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm!r}; there are {', '.join(sorted(ALGORITHMS))}")
+    return ALGORITHMS[algorithm](blocks, sizes)
+
+
+def cluster_with_lines(blocks: DataFrame, sizes: DataFrame, algorithm: str = "simple") -> tuple[DataFrame, DataFrame]:
+    """Paragraphs (para_idx, text, box, n_lines) and their printed lines (para_idx, line_idx, text, box, font_size)."""
+    from .simple import numbered_blocks, simple_paragraphs
+
+    line = ["text", "x0", "y0", "x1", "y1", "font_size"]
+    if algorithm == "simple":
+        paragraphs = simple_paragraphs(blocks).select(*PAGE, F.col("para_idx").cast("int").alias("para_idx"), "text", "x0", "y0", "x1", "y1", "n_lines")
+        return paragraphs, numbered_blocks(blocks).select(*PAGE, "para_idx", "line_idx", F.coalesce("text", F.lit("")).alias("text"), *line[1:])
+    if algorithm != "layout":
+        raise ValueError(f"no lines from algorithm {algorithm!r}")
+    pages = lay_out_pages(blocks, sizes)
+    lines = pages.select(*PAGE, "para_idx", F.posexplode("lines").alias("line_idx", "l")).select(*PAGE, "para_idx", "line_idx", *(f"l.{c}" for c in line))
+    return paragraphs_of(pages).withColumnRenamed("reading_no", "para_idx").select(*PAGE, "para_idx", "text", "x0", "y0", "x1", "y1", "n_lines"), lines
 
 
 def _simple(blocks: DataFrame, _: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ def split_paragraphs(columns: DataFrame, ratio: float = 1.5, least: float = 4.0)
     return columns.withColumn("_s", starts).withColumn("para_no", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_s")
 
 
+def numbered_blocks(blocks: DataFrame, ratio: float = 1.5, gap: float = 50.0) -> DataFrame:
+    """``blocks`` with para_idx on the page and line_idx in the paragraph."""
+    rows = split_paragraphs(split_columns(blocks, gap), ratio)
+    page = Window.partitionBy(*PAGE).orderBy("column_no", "para_no")
+    line = Window.partitionBy(*PAGE, "column_no", "para_no").orderBy("y0", "x0", "block_idx")
+    return rows.withColumns({"para_idx": F.dense_rank().over(page) - 1, "line_idx": F.row_number().over(line) - 1})
+
+
 def simple_paragraphs(blocks: DataFrame, ratio: float = 1.5, gap: float = 50.0) -> DataFrame:
     """Paragraphs of every page in reading order: para_idx, column_no, text, box, n_lines, font_size."""
     rows = split_paragraphs(split_columns(blocks, gap), ratio)

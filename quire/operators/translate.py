@@ -1,8 +1,8 @@
 """Translation with a content-hashed memory: lookup, batched requests, bounded retry.
 
 A backend is any object with ``translate_json(requests)`` and ``translate_text(texts)``, both DataFrame to DataFrame;
-backends that call a service do so inside ``mapInPandas``, and must give the same reply for the same text, since Spark
-may run a task twice. ``DictionaryBackend`` answers from a table.
+backends that call a service (``services``) do so inside ``mapInPandas``. Replies are checkpointed, so a lost executor
+does not ask again. ``DictionaryBackend`` answers from a table. Memory and texts meet on the hash of the text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..session import cut
 
-CHUNK, ROUNDS = 50, 3
+#: Lines in a request, requests after the first for lines that failed, pages whose lines are numbered together.
+CHUNK, RETRIES, BATCH_PAGES = 50, 3, 3
 
 
 class Backend(Protocol):
@@ -46,9 +47,15 @@ class DictionaryBackend:
 BACKENDS: dict[str, type] = {"dictionary": DictionaryBackend}
 
 
-def create_backend(name: str, *args: object) -> Backend:
-    """A registered backend; services that cannot be reached offline are not registered."""
-    return BACKENDS.get(name, DictionaryBackend)(*args)
+def register_backend(name: str, backend: type) -> None:
+    BACKENDS[name] = backend
+
+
+def create_backend(name: str, *args: object, **options: object) -> Backend:
+    """A registered backend; an unknown name is an error."""
+    if name not in BACKENDS:
+        raise ValueError(f"unknown backend {name!r}; there are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[name](*args, **options)
 
 
 def latest_entries(cache: DataFrame) -> DataFrame:
@@ -59,7 +66,7 @@ def latest_entries(cache: DataFrame) -> DataFrame:
 
 def look_up(texts: DataFrame, cache: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct non-null texts with their cached translation or null: source_text, source_hash, translated_text."""
-    distinct = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("source_text")).distinct().withColumn("source_hash", t.content_hash(F.col("source_text")))
+    distinct = texts.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("source_text"), t.content_hash(F.col(text_col)).alias("source_hash")).groupBy("source_hash").agg(F.min("source_text").alias("source_text"))
     return distinct.join(latest_entries(cache).select("source_hash", "translated_text"), "source_hash", "left").select("source_text", "source_hash", "translated_text")
 
 
@@ -103,44 +110,86 @@ def match_replies(chunked: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def accepted(source: Column, reply: Column) -> Column:
+    """A line's reply that needs no retry."""
     return t.valid_target(source, reply) & ~t.identity_failure(source, reply)
 
 
-def translate_lines(lines: DataFrame, backend: Backend, rounds: int = ROUNDS, size: int = CHUNK) -> DataFrame:
-    """Lines (doc_id, page_num, para_idx, line_idx, text) with translated text; failed lines are asked again.
+def storable(source: Column, reply: Column) -> Column:
+    """A reply that goes into the memory and may be taken from it."""
+    return ~t.identity_failure(source, reply) & ~t.prompt_echo(reply)
+
+
+MEMORY = ["source_hash", "source_text", "translated_text"]
+
+
+def _new_entries(answered: DataFrame) -> DataFrame:
+    """Entries for the memory from (source_hash, text, reply): one for each hash."""
+    return answered.groupBy("source_hash").agg(F.min("text").alias("source_text"), F.max("reply").alias("translated_text"))
 
-    At most ``rounds`` rounds; it ends early when nothing is left or a round brings nothing new. Each round is written
-    to the shared checkpoint folder, so a lost executor does not ask the backend again.
+
+def ask_lines(lines: DataFrame, memory: DataFrame, backend: Backend, keys: list[str], size: int = CHUNK, batch_pages: int = BATCH_PAGES) -> tuple[DataFrame, DataFrame]:
+    """``keys``, text and reply ('' for none) of non-blank lines: from the memory, else asked in chunks; and the new entries."""
+    known = memory.select("source_hash", F.col("translated_text").alias("_known"))
+    chunked = chunk_lines(number_lines(lines, batch_pages), size).withColumn("chunk_id", F.concat_ws("-", "doc_id", "batch_id", "chunk_no"))
+    found = chunked.withColumn("source_hash", t.content_hash(F.col("text"))).join(known, "source_hash", "left")
+    hit = F.col("_known").isNotNull() & storable(F.col("text"), F.col("_known"))
+    found = cut(found.withColumn("_known", F.when(hit, F.col("_known"))))
+    misses = found.where("_known is null").drop("_known")
+    answers = cut(match_replies(misses, parse_replies(backend.translate_json(build_requests(misses)))).select(*keys, "source_hash", "text", "reply"))
+    new = _new_entries(answers.where((F.col("reply") != "") & storable(F.col("text"), F.col("reply"))))
+    return found.where("_known is not null").select(*keys, "text", F.col("_known").alias("reply")).unionByName(answers.drop("source_hash")), new
+
+
+def translate_lines(lines: DataFrame, memory: DataFrame, backend: Backend, retries: int = RETRIES, size: int = CHUNK, batch_pages: int = BATCH_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Lines (doc_id, page_num, para_idx, line_idx, text) with translated text, and the new entries of the memory.
+
+    One request, then at most ``retries`` for lines whose reply is blank, not Chinese or the source again; it ends early when
+    nothing is left or a retry brings nothing new. A line that is never answered well keeps its first reply. Each round is
+    written to the shared checkpoint folder.
     """
     keys = ["doc_id", "page_num", "para_idx", "line_idx"]
-    todo, done, left = lines.select(*keys, "text"), None, -1
-    for _ in range(rounds):
-        chunked = chunk_lines(number_lines(todo), size).withColumn("chunk_id", F.concat_ws("-", "doc_id", "batch_id", "chunk_no"))
-        answered = match_replies(chunked, parse_replies(backend.translate_json(build_requests(chunked)))).select(*keys, "text", "reply")
+    memory = memory.select(*MEMORY)
+    first, new = ask_lines(lines.select(*keys, "text"), memory, backend, keys, size, batch_pages)
+    good = accepted(F.col("text"), F.col("reply"))
+    done, todo, entries = first.where(good), first.where(~good), new
+    failed, left = todo, todo.count()
+    for _ in range(retries):
+        if not left:
+            break
+        memory = upsert(memory, new)
+        answered, new = ask_lines(failed.select(*keys, "text"), memory, backend, keys, size, batch_pages)
         answered = cut(answered)
-        good = answered.where(accepted(F.col("text"), F.col("reply")))
-        done = good if done is None else done.unionByName(good)
-        todo = answered.where(~accepted(F.col("text"), F.col("reply"))).select(*keys, "text")
-        count = todo.count()
-        if count == 0 or count == left:
+        entries = entries.unionByName(new)
+        better = answered.where(good)
+        done = done.unionByName(better)
+        failed = answered.where(~good)
+        count = failed.count()
+        if count == left:
             break
         left = count
-    return lines.join(done.select(*keys, F.col("reply").alias("translated")), keys, "left").withColumn("translated", F.coalesce("translated", F.lit("")))
+    best = done.unionByName(todo.join(done.select(*keys), keys, "left_anti")).select(*keys, F.col("reply").alias("translated"))
+    out = lines.join(best, keys, "left").withColumn("translated", F.coalesce("translated", F.lit("")))
+    return out, entries.groupBy("source_hash").agg(F.min("source_text").alias("source_text"), F.max("translated_text").alias("translated_text"))
 
 
-def translate_texts(texts: DataFrame, cache: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
-    """Whole texts through the memory: (source_text, translation, from_cache) and the new entries.
+def translate_texts(texts: DataFrame, memory: DataFrame, backend: Backend) -> tuple[DataFrame, DataFrame]:
+    """Whole texts: (source_hash, source_text, translation, from_cache), without those that have no translation; and the new entries.
 
-    A cached translation holds unless it repeats the source or the request; a reply is stored under the same test.
+    A known translation holds unless it is empty or the source again. All others are asked one by one in JSON, and freely
+    where that reply is blank or repeats the request.
     """
-    found = look_up(texts.where(~t.is_blank(F.col("text"))), cache)
-    source, old = F.col("source_text"), F.col("translated_text")
-    hit = old.isNotNull() & ~t.identity_failure(source, old) & ~t.prompt_echo(old)
-    hits = found.where(hit).select("source_text", F.col("translated_text").alias("translation"), F.lit(True).alias("from_cache"))
-    asked = backend.translate_text(found.where(~hit | hit.isNull()).select("source_text"))
-    misses = asked.select("source_text", F.col("reply").alias("translation"), F.lit(False).alias("from_cache"))
-    new = misses.where(~t.identity_failure(source, F.col("translation")) & ~t.prompt_echo(F.col("translation"))).select("source_text", F.col("translation").alias("translated_text"))
-    return hits.unionByName(misses), new
+    distinct = texts.where(~t.is_blank(F.col("text"))).withColumn("source_hash", t.content_hash(F.col("text"))).groupBy("source_hash").agg(F.min("text").alias("text"))
+    found = cut(distinct.join(memory.select("source_hash", F.col("translated_text").alias("_known")), "source_hash", "left"))
+    source = F.col("text")
+    hit = F.coalesce(F.col("_known") != "", F.lit(False)) & ~t.identity_failure(source, F.col("_known"))
+    hits = found.where(hit).select("source_hash", F.col("text").alias("source_text"), F.col("_known").alias("translation"), F.lit(True).alias("from_cache"))
+    misses = found.where(~hit).select(F.col("source_hash").alias("chunk_id"), "text", F.lit(0).cast("bigint").alias("gid"))
+    answers = cut(match_replies(misses, parse_replies(backend.translate_json(build_requests(misses)))))
+    free = backend.translate_text(answers.where("reply = ''").select(F.col("text").alias("source_text"))).select(t.content_hash(F.col("source_text")).alias("chunk_id"), t.strip(F.coalesce("reply", F.lit(""))).alias("_free"))
+    answers = cut(answers.join(free, "chunk_id", "left").select(F.col("chunk_id").alias("source_hash"), "text", F.when(F.col("reply") != "", F.col("reply")).otherwise(F.coalesce("_free", F.lit(""))).alias("reply")))
+    new = _new_entries(answers.where(storable(source, F.col("reply"))))
+    good = answers.where(~t.is_blank(F.col("reply")) & ~t.identity_failure(source, F.col("reply")))
+    return hits.unionByName(good.select("source_hash", F.col("text").alias("source_text"), F.col("reply").alias("translation"), F.lit(False).alias("from_cache"))), new
 
 
 def compose_paragraphs(lines: DataFrame) -> DataFrame:

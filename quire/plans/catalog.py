@@ -113,8 +113,9 @@ def latest_pages(spark: SparkSession, base: str) -> DataFrame:
     return _points(spark, base).select(*PAGE, "dpi", "status", "width", "height")
 
 
-LATEST_PARAGRAPHS = """latest AS (SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, para_idx ORDER BY saved_at DESC, id DESC) AS n FROM ocr_paragraphs) WHERE n = 1)"""
+LATEST_PARAGRAPHS = """latest AS (SELECT * EXCLUDE (n, last) FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_num, para_idx ORDER BY id DESC) AS n FROM (
+    SELECT *, max(saved_at) OVER (PARTITION BY doc_id, page_num) AS last FROM ocr_paragraphs) WHERE saved_at IS NOT DISTINCT FROM last) WHERE n = 1)"""
 
 
 @query(f"WITH {POINTS}, {LATEST_PARAGRAPHS} SELECT doc_id, page_num, p.status, l.para_idx::BIGINT AS para_idx, l.text, l.translated_text FROM points p JOIN latest l USING (doc_id, page_num) WHERE page_num BETWEEN 1 AND 4")
@@ -270,11 +271,12 @@ def _floor(c: str) -> str:
     return f"greatest(1.0, {c})"
 
 
-EDGES = PARAS + ", " + MEDIANS + f""", edges AS (SELECT a.doc_id, a.page_num, a.para_idx AS a_idx, b.para_idx AS b_idx FROM paragraphs a JOIN paragraphs b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.para_idx < b.para_idx
+EDGE_RULE = f"""edges AS (SELECT a.doc_id, a.page_num, a.para_idx AS a_idx, b.para_idx AS b_idx FROM paragraphs a JOIN paragraphs b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.para_idx < b.para_idx
   JOIN medians m ON a.doc_id = m.doc_id AND a.page_num = m.page_num WHERE
   (CASE WHEN {AREA_A} + {AREA_B} - {INTER} > 0 THEN {INTER} / ({AREA_A} + {AREA_B} - {INTER}) ELSE 0 END) > 0.12 OR (CASE WHEN least({AREA_A}, {AREA_B}) > 0 THEN {INTER} / least({AREA_A}, {AREA_B}) ELSE 0 END) > 0.6
   OR (greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) / least({_floor('a.x1 - a.x0')}, {_floor('b.x1 - b.x0')}) >= 0.55 AND greatest(b.y0 - a.y1, a.y0 - b.y1, 0.0) <= greatest(6.0, median_height * 0.65::DOUBLE))
   OR ({V_OVER} / least({_floor('a.y1 - a.y0')}, {_floor('b.y1 - b.y0')}) >= 0.55 AND greatest(b.x0 - a.x1, a.x0 - b.x1, 0.0) <= greatest(8.0, median_height * 0.75::DOUBLE)))"""
+EDGES = PARAS + ", " + MEDIANS + ", " + EDGE_RULE
 
 
 @query(f"WITH {EDGES} SELECT doc_id, page_num, a_idx, b_idx FROM edges")
@@ -283,16 +285,20 @@ def merge_edges(spark: SparkSession, base: str) -> DataFrame:
     return _edges(spark, base)[2]
 
 
-@query(f"""WITH RECURSIVE {EDGES}, both_ways AS (SELECT doc_id, page_num, a_idx AS a, b_idx AS b FROM edges UNION ALL SELECT doc_id, page_num, b_idx, a_idx FROM edges),
-  reach AS (SELECT doc_id, page_num, para_idx, para_idx AS seen FROM paragraphs UNION SELECT r.doc_id, r.page_num, r.para_idx, e.b FROM reach r JOIN both_ways e ON r.doc_id = e.doc_id AND r.page_num = e.page_num AND r.seen = e.a)
-  SELECT doc_id, page_num, para_idx, min(seen) AS group_idx FROM reach GROUP BY ALL""")
+GROUPS = """both_ways AS (SELECT doc_id, page_num, a_idx AS a, b_idx AS b FROM edges UNION ALL SELECT doc_id, page_num, b_idx, a_idx FROM edges),
+  reach AS (SELECT doc_id, page_num, para_idx, para_idx AS seen FROM paragraphs UNION SELECT r.doc_id, r.page_num, r.para_idx, e.b FROM reach r JOIN both_ways e ON r.doc_id = e.doc_id AND r.page_num = e.page_num AND r.seen = e.a),
+  groups AS (SELECT doc_id, page_num, para_idx, min(seen) AS group_idx FROM reach GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, {GROUPS} SELECT doc_id, page_num, para_idx, group_idx FROM groups")
 def paragraph_groups(spark: SparkSession, base: str) -> DataFrame:
     """Connected components of paragraphs: each with the smallest index of its group."""
     paragraphs, _, edges = _edges(spark, base)
     return layout.group_paragraphs(paragraphs, edges).select(*PAGE, "para_idx", "group_idx")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, {GROUPS} SELECT doc_id, page_num, group_idx, string_agg(coalesce(p.text, ''), '' ORDER BY p.y0, p.x0, para_idx, block_idx) AS text, min(p.x0) AS x0, min(p.y0) AS y0, max(p.x1) AS x1, max(p.y1) AS y1, count(*) AS n_lines
+  FROM par p JOIN (SELECT doc_id, page_num, column_no, para_no, para_idx FROM paragraphs) q USING (doc_id, page_num, column_no, para_no) JOIN groups USING (doc_id, page_num, para_idx) GROUP BY ALL""")
 def merged_paragraphs(spark: SparkSession, base: str) -> DataFrame:
     """Text and box of each group of paragraphs."""
     rows = simple.split_paragraphs(simple.split_columns(_blocks(spark, base)))
@@ -335,7 +341,38 @@ def xycut_one_level(spark: SparkSession, base: str) -> DataFrame:
     return layout.cut_once(rows, layout.page_gaps(rows, _sizes(spark, base), "x")).select("block_id", "region_no")
 
 
-@query()
+REGION = "doc_id, page_num, path"
+#: The recursive cut, one level a step: spans of the three cuts (columns, columns without wide boxes, rows), their gaps, and the boxes' bins.
+CUTS = f"""cuts AS (SELECT b.doc_id, b.page_num, block_idx, x0, y0, x1, y1, coalesce(width, 0.0) AS width, coalesce(height, 0.0) AS height, []::BIGINT[] AS path FROM blocks b LEFT JOIN sizes USING (doc_id, page_num)
+  UNION ALL (WITH live AS (SELECT * FROM cuts),
+    st AS (SELECT {REGION}, min(x0) AS xl, max(x1) AS xh, min(y0) AS yl, max(y1) AS yh, greatest(1, trunc(any_value(width))::BIGINT + 1) AS xs, greatest(1, trunc(any_value(height))::BIGINT + 1) AS ys,
+      coalesce(list_sort(list(y1 - y0) FILTER (y1 - y0 > 0)), []) AS hs FROM live GROUP BY ALL HAVING count(*) > 1),
+    reg AS (SELECT * EXCLUDE (hs), CASE WHEN len(hs) = 0 THEN 12.0 ELSE hs[len(hs) // 2 + 1] END AS med FROM st),
+    ax AS (SELECT r.*, a, CASE WHEN a < 3 THEN xs ELSE ys END AS size, CASE WHEN a < 3 THEN xl ELSE yl END AS low, CASE WHEN a < 3 THEN xh ELSE yh END AS high, CASE WHEN a < 3 THEN greatest(4, trunc(med * 0.35::DOUBLE)::BIGINT) ELSE greatest(8, trunc(med * 0.8::DOUBLE)::BIGINT) END AS least_gap FROM reg r, (VALUES (1), (2), (3)) v(a)),
+    sp AS (SELECT * FROM (SELECT x.doc_id, x.page_num, x.path, a, size, greatest(0, trunc(CASE WHEN a < 3 THEN x0 ELSE y0 END)::BIGINT) AS s, least(size, trunc(CASE WHEN a < 3 THEN x1 ELSE y1 END)::BIGINT + 1) AS e
+      FROM live l JOIN ax x ON l.doc_id = x.doc_id AND l.page_num = x.page_num AND l.path = x.path WHERE a != 2 OR x1 - x0 <= width * 0.45::DOUBLE) WHERE s < e),
+    run AS (SELECT *, coalesce(max(e) OVER (PARTITION BY {REGION}, a ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM sp),
+    gap AS (SELECT {REGION}, a, reach AS g0, s AS g1 FROM run WHERE s > reach UNION ALL SELECT x.doc_id, x.page_num, x.path, x.a, coalesce(m.e, 0), x.size FROM ax x LEFT JOIN (SELECT {REGION}, a, max(e) AS e FROM sp GROUP BY ALL) m
+      ON m.doc_id = x.doc_id AND m.page_num = x.page_num AND m.path = x.path AND m.a = x.a WHERE coalesce(m.e, 0) < x.size),
+    mid AS (SELECT g.doc_id, g.page_num, g.path, g.a, list((g0 + g1) / 2.0::DOUBLE) AS ms FROM gap g JOIN ax x ON g.doc_id = x.doc_id AND g.page_num = x.page_num AND g.path = x.path AND g.a = x.a WHERE g1 - g0 >= least_gap AND g1 > low AND g0 < high GROUP BY ALL),
+    opt AS (SELECT {REGION}, coalesce(any_value(ms) FILTER (a = 1), any_value(ms) FILTER (a = 2), []) AS mx, coalesce(any_value(ms) FILTER (a = 3), []) AS my FROM mid GROUP BY ALL),
+    binned AS (SELECT l.*, len(list_filter(mx, lambda m: m <= (x0 + x1) / 2)) AS bin_x, len(list_filter(my, lambda m: m <= (y0 + y1) / 2)) AS bin_y FROM live l JOIN opt o ON l.doc_id = o.doc_id AND l.page_num = o.page_num AND l.path = o.path),
+    cut AS (SELECT *, min(bin_x) OVER r <> max(bin_x) OVER r AS in_x, min(bin_y) OVER r <> max(bin_y) OVER r AS in_y FROM binned WINDOW r AS (PARTITION BY {REGION}))
+    SELECT doc_id, page_num, block_idx, x0, y0, x1, y1, width, height, path || [CASE WHEN in_x THEN bin_x ELSE bin_y END::BIGINT] FROM cut WHERE in_x OR in_y)),
+  leaf AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_num ORDER BY path) - 1 AS region_no FROM (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY doc_id, page_num, block_idx ORDER BY len(path) DESC) = 1))"""
+LINE_FITS = "greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(a.y1 - a.y0, b.y1 - b.y0) >= 0.4::DOUBLE AND b.x0 - a.x1 <= b.reach"
+LAST = "{'x1': b.x1, 'y0': b.y0, 'y1': b.y1}"
+LINE_FOLD = f"""line_in AS (SELECT f.*, greatest(15.0, m.hs[len(m.hs) // 2 + 1] * 1.8::DOUBLE) AS reach, row_number() OVER (PARTITION BY doc_id, page_num, region_no ORDER BY y0, x0, block_idx) AS k FROM leaf f
+    JOIN (SELECT doc_id, page_num, region_no, list_sort(list(y1 - y0)) AS hs FROM leaf WHERE y1 > y0 GROUP BY ALL) m USING (doc_id, page_num, region_no) WHERE y1 > y0),
+  line_fold AS (SELECT doc_id, page_num, region_no, k, block_idx, x0, y0, 1::BIGINT AS place, [{LAST}] AS lasts FROM line_in b WHERE k = 1
+    UNION ALL SELECT doc_id, page_num, region_no, k, block_idx, x0, y0, CASE WHEN hit > 0 THEN hit ELSE len(lasts) + 1 END, CASE WHEN hit > 0 THEN lasts[:hit - 1] || [one] || lasts[hit + 1:] ELSE lasts || [one] END
+    FROM (SELECT b.doc_id, b.page_num, b.region_no, b.k, b.block_idx, b.x0, b.y0, f.lasts, {LAST} AS one, coalesce(list_sort(list_filter(list_transform(f.lasts, lambda a, i: {{'g': CASE WHEN {LINE_FITS} THEN b.x0 - a.x1 END, 'n': i}}), lambda c: c.g IS NOT NULL))[1].n, 0)::BIGINT AS hit
+      FROM line_fold f JOIN line_in b ON b.doc_id = f.doc_id AND b.page_num = f.page_num AND b.region_no = f.region_no AND b.k = f.k + 1)),
+  line_rank AS (SELECT doc_id, page_num, region_no, place, row_number() OVER (PARTITION BY doc_id, page_num, region_no ORDER BY list_sum(list(y0 ORDER BY x0, k)) / count(*), place) - 1 AS line_no FROM line_fold GROUP BY doc_id, page_num, region_no, place),
+  placed AS (SELECT doc_id, page_num, block_idx, region_no, line_no, row_number() OVER (PARTITION BY doc_id, page_num, region_no, place ORDER BY f.x0, f.k) - 1 AS box_no FROM line_fold f JOIN line_rank USING (doc_id, page_num, region_no, place))"""
+
+
+@query(f"WITH RECURSIVE {SIZES}, {CUTS}, {LINE_FOLD} SELECT doc_id, page_num, block_idx::BIGINT AS block_idx, region_no, line_no, box_no FROM placed")
 def text_lines(spark: SparkSession, base: str) -> DataFrame:
     """Region, line and place of each block by the recursive cut and line detection."""
     return layout.lay_out_lines(_blocks(spark, base), _sizes(spark, base)).select(*PAGE, "block_idx", "region_no", "line_no", "box_no")
@@ -344,11 +381,16 @@ def text_lines(spark: SparkSession, base: str) -> DataFrame:
 START = rf"(length({_strip('text')}) > 0 AND (text LIKE '　%' OR text LIKE '  %' OR regexp_matches(regexp_replace(text, '^{BLANK}+', ''), '^(?:\([0-9]{{1,2}}\)|[0-9]{{1,2}}[.)]|[\x{{2460}}-\x{{2473}}\x{{2776}}-\x{{277f}}])(?:[\s\x{{3000}}]|$)') OR regexp_matches(regexp_replace(text, '^{BLANK}+', ''), '^[•◦▪●○・·\-–]')))"
 
 
-@query(f"""WITH {COLUMNS}, r AS (SELECT *, avg(h) OVER p AS mean_h, min(x0) OVER p AS bl, max(x1) OVER p AS br, avg(CASE WHEN gap >= 0 THEN gap END) OVER p AS mean_gap FROM (
-    SELECT *, y1 - y0 AS h, y0 - lag(y1) OVER o AS gap, lag(y1 - y0) OVER o AS ph, lag(x1) OVER o AS pr, lag(x0) OVER o AS pl, row_number() OVER o AS k FROM col WINDOW o AS (PARTITION BY doc_id, page_num, column_no ORDER BY y0, x0, block_idx)) WINDOW p AS (PARTITION BY doc_id, page_num, column_no)),
+def _break_sql(source: str, keys: str, order: str) -> str:
+    """``source`` (box and text of lines) with para_no."""
+    return f"""r AS (SELECT *, avg(h) OVER p AS mean_h, min(x0) OVER p AS bl, max(x1) OVER p AS br, avg(CASE WHEN gap >= 0 THEN gap END) OVER p AS mean_gap FROM (
+    SELECT *, y1 - y0 AS h, y0 - lag(y1) OVER o AS gap, lag(y1 - y0) OVER o AS ph, lag(x1) OVER o AS pr, lag(x0) OVER o AS pl, row_number() OVER o AS k FROM {source} WINDOW o AS (PARTITION BY {keys} ORDER BY {order})) WINDOW p AS (PARTITION BY {keys})),
   s AS (SELECT *, (k > 1 AND coalesce(coalesce({START}, false) OR gap > greatest(mean_h * 0.5::DOUBLE, coalesce(mean_gap, mean_h * 0.25::DOUBLE) * 1.4::DOUBLE, 5.0) OR (CASE WHEN ph > 0 AND h > 0 THEN greatest(ph, h) / least(ph, h) ELSE 1.0 END) > 1.25
-    OR (br - bl > mean_h * 2.5::DOUBLE AND br - pr > mean_h AND gap > 0) OR (br - bl > mean_h * 2.5::DOUBLE AND x0 - bl > mean_h * 0.4::DOUBLE AND abs(pl - bl) < mean_h * 0.5::DOUBLE), false))::INT AS st FROM r)
-  SELECT block_id, column_no, sum(st) OVER (PARTITION BY doc_id, page_num, column_no ORDER BY y0, x0, block_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS para_no FROM s""")
+    OR (br - bl > mean_h * 2.5::DOUBLE AND br - pr > mean_h AND gap > 0) OR (br - bl > mean_h * 2.5::DOUBLE AND x0 - bl > mean_h * 0.4::DOUBLE AND abs(pl - bl) < mean_h * 0.5::DOUBLE), false))::INT AS st FROM r),
+  broken AS (SELECT *, sum(st) OVER (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING)::BIGINT AS para_no FROM s)"""
+
+
+@query(f"WITH {COLUMNS}, {_break_sql('col', 'doc_id, page_num, column_no', 'y0, x0, block_idx')} SELECT block_id, column_no, para_no FROM broken")
 def paragraph_breaks(spark: SparkSession, base: str) -> DataFrame:
     """Paragraph detection over the lines of each column."""
     rows = simple.split_columns(_blocks(spark, base))
@@ -363,24 +405,69 @@ def layout_classes(spark: SparkSession, base: str) -> DataFrame:
     return rows.select(*PAGE, "para_idx", g.layout_class(g.box(), F.col("width"), F.col("height"), F.col("font_size"), F.length("text"), F.col("n_lines")).alias("layout_type"))
 
 
-@query()
+def _order_sql(source: str, key: str, name: str = "strip") -> str:
+    """Reading order of the boxes of ``source`` (doc_id, page_num, ``key``, box): strips as a fold over the boxes of each page."""
+    fits = "b.y0 < s.b / s.n AND b.y1 > s.a / s.n AND (least(b.y1, s.b / s.n) - greatest(b.y0, s.a / s.n)) / least(greatest(1.0, b.y1 - b.y0), greatest(1.0, (s.b - s.a) / s.n)) >= 0.4"
+    fits = fits.replace("(s.b - s.a) / s.n", "s.b / s.n - s.a / s.n")
+    one = "{'a': b.y0, 'b': b.y1, 'n': 1::BIGINT}"
+    return f"""{name}_in AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, {key}) AS k FROM {source}),
+  {name}_fold AS (SELECT doc_id, page_num, k, {key}, x0, 1::BIGINT AS place, [{one}] AS strips FROM {name}_in b WHERE k = 1
+    UNION ALL SELECT doc_id, page_num, k, {key}, x0, CASE WHEN hit > 0 THEN hit ELSE len(strips) + 1 END AS place, CASE WHEN hit > 0 THEN strips[:hit - 1] || [{{'a': strips[hit].a + y0, 'b': strips[hit].b + y1, 'n': strips[hit].n + 1}}] || strips[hit + 1:] ELSE strips || [one] END
+    FROM (SELECT b.doc_id, b.page_num, b.k, b.{key}, b.x0, b.y0, b.y1, f.strips, {one} AS one, coalesce(list_position(list_transform(f.strips, lambda s: {fits}), true), 0)::BIGINT AS hit
+      FROM {name}_fold f JOIN {name}_in b ON b.doc_id = f.doc_id AND b.page_num = f.page_num AND b.k = f.k + 1)),
+  {name}_order AS (SELECT doc_id, page_num, {key}, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY place, x0, k) - 1 AS reading_no FROM {name}_fold)"""
+
+
+@query(f"WITH RECURSIVE {PARAS}, {_order_sql('paragraphs', 'para_idx')} SELECT doc_id, page_num, para_idx, reading_no FROM strip_order")
 def reading_order(spark: SparkSession, base: str) -> DataFrame:
     """Reading order of each page's paragraphs."""
     return layout.order_pages(simple.simple_paragraphs(_blocks(spark, base)), "para_idx")
 
 
-@query()
+CLASS = """CASE WHEN height > 0 AND y0 < height * 0.08::DOUBLE AND h < height * 0.06::DOUBLE THEN 'header' WHEN height > 0 AND y1 > height * 0.92::DOUBLE AND h < height * 0.06::DOUBLE THEN 'footer'
+    WHEN (CASE WHEN diag > 0 THEN fs / diag ELSE 0 END) > 0.03 AND length(text) < 120 THEN 'title' WHEN n_lines <= 1 AND length(text) < 80 AND (CASE WHEN diag > 0 THEN fs / diag ELSE 0 END) < 0.02 THEN 'caption' ELSE 'body' END"""
+LAYOUT = f"""{SIZES}, {CUTS}, {LINE_FOLD}, box AS (SELECT p.*, coalesce(b.text, '') AS text, b.font_size, b.x0, b.y0, b.x1, b.y1 FROM placed p JOIN blocks b USING (doc_id, page_num, block_idx)),
+  line AS (SELECT doc_id, page_num, region_no, line_no, string_agg(text, '' ORDER BY box_no) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM box GROUP BY ALL), {_break_sql('line', 'doc_id, page_num, region_no', 'line_no')},
+  numbered_box AS (SELECT b.*, dense_rank() OVER (PARTITION BY b.doc_id, b.page_num ORDER BY b.region_no, q.para_no) - 1 AS para_idx FROM box b JOIN broken q USING (doc_id, page_num, region_no, line_no)),
+  paragraphs AS (SELECT doc_id, page_num, para_idx, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM numbered_box GROUP BY ALL),
+  medians AS (SELECT doc_id, page_num, h[len(h) // 2 + 1] AS median_height FROM (SELECT doc_id, page_num, list_sort(list(y1 - y0)) AS h FROM box GROUP BY ALL)), {EDGE_RULE}, {GROUPS},
+  lone AS (SELECT doc_id, page_num, max(para_idx) = 0 AS alone FROM paragraphs GROUP BY ALL),
+  merged AS (SELECT doc_id, page_num, group_idx, string_agg(text, '' ORDER BY CASE WHEN alone THEN line_no ELSE y0 END, CASE WHEN alone THEN box_no ELSE x0 END, para_idx, block_idx) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_lines,
+    coalesce(avg(CASE WHEN font_size > 0 THEN font_size ELSE y1 - y0 END), 0) AS font_size FROM numbered_box JOIN groups USING (doc_id, page_num, para_idx) JOIN lone USING (doc_id, page_num) GROUP BY ALL), {_order_sql('merged', 'group_idx')}"""
+
+
+@query(f"""WITH RECURSIVE {LAYOUT} SELECT doc_id, page_num, reading_no, {CLASS} AS layout_type, text, x0, y0, x1, y1, n_lines, round(font_size, 4) AS font_size
+  FROM (SELECT m.*, reading_no, coalesce(width, 0) AS width, coalesce(height, 0) AS height, CASE WHEN font_size <= 0 THEN (y1 - y0) / greatest(1, n_lines) ELSE font_size END AS fs, y1 - y0 AS h, sqrt(coalesce(width, 0) * coalesce(width, 0) + coalesce(height, 0) * coalesce(height, 0)) AS diag
+    FROM merged m JOIN strip_order USING (doc_id, page_num, group_idx) LEFT JOIN sizes USING (doc_id, page_num))""")
 def layout_paragraphs(spark: SparkSession, base: str) -> DataFrame:
     """The layout algorithm from blocks to classified paragraphs in reading order."""
-    return layout.cluster(_blocks(spark, base), _sizes(spark, base), "layout")
+    return layout.cluster(_blocks(spark, base), _sizes(spark, base), "layout").withColumn("font_size", F.round("font_size", 4))
 
 
-@query()
+ORDERED = "ordered AS (SELECT doc_id, page_num, block_idx, x0, y0, x1, y1, coalesce(text, '') AS text, source, font_size, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY y0, x0, block_idx) AS k FROM blocks)"
+JOINS = "abs(o.y0 - f.y0) < 3 AND abs(o.y1 - f.y1) < 3 AND o.x0 - f.x1 > 0 AND o.x0 - f.x1 < 5"
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, fold AS (SELECT doc_id, page_num, k, 0::BIGINT AS n, x0, y0, x1, y1, text, source, font_size FROM ordered WHERE k = 1
+    UNION ALL SELECT o.doc_id, o.page_num, o.k, CASE WHEN {JOINS} THEN f.n ELSE f.n + 1 END, CASE WHEN {JOINS} THEN f.x0 ELSE o.x0 END, CASE WHEN {JOINS} THEN least(f.y0, o.y0) ELSE o.y0 END, CASE WHEN {JOINS} THEN greatest(f.x1, o.x1) ELSE o.x1 END,
+      CASE WHEN {JOINS} THEN greatest(f.y1, o.y1) ELSE o.y1 END, CASE WHEN {JOINS} THEN f.text || o.text ELSE o.text END, CASE WHEN {JOINS} THEN f.source ELSE o.source END, CASE WHEN {JOINS} THEN 0.0 ELSE o.font_size END
+    FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.page_num = f.page_num AND o.k = f.k + 1)
+  SELECT doc_id, page_num, n AS block_idx, x0, y0, x1, y1, text, source, font_size FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, page_num, n ORDER BY k DESC) = 1""")
 def horizontal_merge(spark: SparkSession, base: str) -> DataFrame:
     return boxes.merge_horizontally(_blocks(spark, base))
 
 
-@query()
+DOUBLE = """least(a.x1, o.x1) > greatest(a.x0, o.x0) AND least(a.y1, o.y1) > greatest(a.y0, o.y0) AND least((a.x1 - a.x0) * (a.y1 - a.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) > 0
+  AND (least(a.x1, o.x1) - greatest(a.x0, o.x0)) * (least(a.y1, o.y1) - greatest(a.y0, o.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (o.x1 - o.x0) * (o.y1 - o.y0)) > 0.3"""
+BOX_STRUCT = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'text': o.text, 'source': o.source, 'font_size': o.font_size}"
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, fold AS (SELECT doc_id, page_num, k, [{BOX_STRUCT}] AS kept FROM ordered o WHERE k = 1
+    UNION ALL SELECT doc_id, page_num, k, CASE WHEN hit = 0 THEN kept || [one] WHEN length(one.text) > length(kept[hit].text) THEN kept[:hit - 1] || [one] || kept[hit + 1:] ELSE kept END
+    FROM (SELECT o.doc_id, o.page_num, o.k, f.kept, {BOX_STRUCT} AS one, coalesce(list_position(list_transform(f.kept, lambda a: {DOUBLE}), true), 0)::BIGINT AS hit
+      FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.page_num = f.page_num AND o.k = f.k + 1)),
+  whole AS (SELECT doc_id, page_num, kept, unnest(range(1, len(kept) + 1)) AS i FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, page_num ORDER BY k DESC) = 1)
+  SELECT doc_id, page_num, i - 1 AS block_idx, kept[i].x0 AS x0, kept[i].y0 AS y0, kept[i].x1 AS x1, kept[i].y1 AS y1, kept[i].text AS text, kept[i].source AS source, kept[i].font_size AS font_size FROM whole""")
 def ocr_engine_merge(spark: SparkSession, base: str) -> DataFrame:
     """Blocks without the doubles of a second engine."""
     return boxes.merge_engines(_blocks(spark, base))
@@ -469,19 +556,98 @@ def chunk_requests(spark: SparkSession, base: str) -> DataFrame:
     return items.groupBy("chunk_id").agg(F.count("*").alias("n_items"), F.sum(F.length("i.text")).alias("n_chars"))
 
 
-@query()
+def _identity_sql(source: str, reply: str) -> str:
+    return f"coalesce({_strip(reply)} = {_strip(source)} AND (regexp_matches({source}, {KANA_SQL}) OR regexp_matches({source}, {HAN_SQL})), false)"
+
+
+def _echo_sql(reply: str) -> str:
+    return f"({reply} IS NULL OR {_strip(reply)} = '' OR " + " OR ".join(f"contains(lower({reply}), '{m}')" for m in t.ECHO_MARKERS) + ")"
+
+
+def _done_sql(paragraphs: str, lines: str) -> str:
+    """Translations of ``paragraphs`` and, where there is none, of their ``lines``, with the latest memory as memory and as backend."""
+    return f"""direct AS (SELECT doc_id, page_num, para_idx, e.translated_text AS translation, 'paragraph' AS level FROM {paragraphs} p JOIN entry e ON e.source_hash = sha256(p.text)
+    WHERE {_strip('p.text')} <> '' AND e.translated_text <> '' AND NOT {_identity_sql('p.text', 'e.translated_text')}),
+  by_line AS (SELECT l.doc_id, l.page_num, l.para_idx, l.line_idx, CASE WHEN coalesce({_strip('l.text')}, '') = '' OR {_echo_sql('e.translated_text')} THEN '' WHEN {_identity_sql('l.text', 'e.translated_text')} THEN {_strip('e.translated_text')} ELSE e.translated_text END AS translated
+    FROM {lines} l LEFT JOIN entry e ON e.source_hash = sha256(l.text) WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.doc_id = l.doc_id AND d.page_num = l.page_num AND d.para_idx = l.para_idx)),
+  done AS (SELECT * FROM direct UNION ALL SELECT doc_id, page_num, para_idx, string_agg(translated, chr(10) ORDER BY line_idx), 'line' FROM by_line GROUP BY ALL)"""
+
+
+STAGE = f"{LATEST_CACHE}, {_line_sql()}, {_done_sql('latest', 'lines')}"
+
+
+def _stage(spark: SparkSession, base: str) -> stages.Translated:
+    cache = table(spark, base, "translation_cache")
+    return stages.translation_stage(table(spark, base, "ocr_paragraphs"), cache, translate.DictionaryBackend(translate.latest_entries(cache)))
+
+
+@query(f"WITH {STAGE} SELECT doc_id, page_num, para_idx::BIGINT AS para_idx, translation, level FROM done")
 def translated_paragraphs(spark: SparkSession, base: str) -> DataFrame:
     """The translation stage with the latest memory as memory and as backend."""
+    return _stage(spark, base).paragraphs
+
+
+@query(f"WITH {STAGE} SELECT doc_id, page_num, para_idx::BIGINT AS para_idx, line_idx, translated FROM by_line")
+def translated_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Lines of the paragraphs that the memory does not know as a whole, asked in chunks with retry."""
+    return _stage(spark, base).lines.select(*PAGE, "para_idx", "line_idx", "translated")
+
+
+def _rendered(spark: SparkSession, base: str) -> stages.Rendered:
     cache = table(spark, base, "translation_cache")
-    return stages.translation_stage(table(spark, base, "ocr_paragraphs"), cache, translate.DictionaryBackend(translate.latest_entries(cache)))
+    return stages.translate_render_stage(table(spark, base, "ocr_pages"), table(spark, base, "ocr_paragraphs"), cache, translate.DictionaryBackend(translate.latest_entries(cache)))
 
 
-@query()
-def full_run(spark: SparkSession, base: str) -> DataFrame:
-    """Recognition and translation in one plan."""
+@query(f"WITH {STAGE}, {POINTS} SELECT l.id, l.para_idx::BIGINT AS para_idx, coalesce(d.translation, l.translated_text) AS translated_text FROM latest l JOIN points USING (doc_id, page_num) LEFT JOIN done d ON d.doc_id = l.doc_id AND d.page_num = l.page_num AND d.para_idx = l.para_idx")
+def translations_saved(spark: SparkSession, base: str) -> DataFrame:
+    """The paragraph store after the translation stage."""
+    return _rendered(spark, base).paragraphs.select("id", "para_idx", "translated_text")
+
+
+@query(f"WITH {POINTS} SELECT doc_id, page_num, CASE WHEN EXISTS (SELECT 1 FROM ocr_paragraphs q WHERE q.doc_id = p.doc_id AND q.page_num = p.page_num) THEN 'translated' ELSE status END AS status FROM points p")
+def pages_marked(spark: SparkSession, base: str) -> DataFrame:
+    """The page store after the translation stage."""
+    return _rendered(spark, base).pages.select(*PAGE, "status")
+
+
+@query(f"WITH {LATEST_CACHE} SELECT source_hash, source_text, translated_text FROM entry")
+def memory_after_stage(spark: SparkSession, base: str) -> DataFrame:
+    """The memory after the translation stage; the dictionary backend knows no more than the memory."""
+    return _rendered(spark, base).memory
+
+
+@query(f"""WITH {STAGE}, parts AS (SELECT l.*, d.level, coalesce(d.translation, '') AS t, b.translated, length(coalesce(d.translation, '')) AS size, sum(length(l.text)) OVER p AS total, count(*) OVER p AS n, l.line_idx + 1 AS i
+    FROM lines l LEFT JOIN done d USING (doc_id, page_num, para_idx) LEFT JOIN by_line b ON b.doc_id = l.doc_id AND b.page_num = l.page_num AND b.para_idx = l.para_idx AND b.line_idx = l.line_idx WINDOW p AS (PARTITION BY l.doc_id, l.page_num, l.para_idx)),
+  ends AS (SELECT *, sum(size * length(text) // greatest(total, 1)) OVER (PARTITION BY doc_id, page_num, para_idx ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS b FROM parts),
+  pieces AS (SELECT *, CASE WHEN level = 'line' THEN translated WHEN i = n THEN substring(t, coalesce(lag(b) OVER w, 0) + 1) ELSE substring(t, coalesce(lag(b) OVER w, 0) + 1, b - coalesce(lag(b) OVER w, 0)) END AS piece FROM ends WINDOW w AS (PARTITION BY doc_id, page_num, para_idx ORDER BY i)),
+  listed AS (SELECT doc_id, page_num, para_idx, list({{'bbox': [x0, y0, x1, y1], 'original': text, 'translated': piece}} ORDER BY i) AS ls FROM pieces GROUP BY ALL)
+  SELECT doc_id, page_num, to_json({{'page_num': page_num, 'paragraphs': list({{'para_idx': para_idx, 'source_text': coalesce(text, ''), 'translation': coalesce(translation, ''), 'lines': coalesce(ls, [])}} ORDER BY para_idx)}})::VARCHAR AS document
+  FROM latest LEFT JOIN listed USING (doc_id, page_num, para_idx) LEFT JOIN done USING (doc_id, page_num, para_idx) GROUP BY doc_id, page_num""")
+def debug_documents(spark: SparkSession, base: str) -> DataFrame:
+    """Debug JSON of each page: paragraphs with their printed and translated lines."""
+    paras = table(spark, base, "ocr_paragraphs")
+    return store.debug_document(stages.translated_lines(paras, _stage(spark, base)))
+
+
+RUN = PARAS + f""", blk AS (SELECT p.doc_id, p.page_num, q.para_idx, row_number() OVER (PARTITION BY p.doc_id, p.page_num, q.para_idx ORDER BY p.y0, p.x0, p.block_idx) - 1 AS line_idx, coalesce(p.text, '') AS text, p.x0, p.y0, p.x1, p.y1
+    FROM par p JOIN (SELECT doc_id, page_num, column_no, para_no, para_idx FROM paragraphs) q USING (doc_id, page_num, column_no, para_no)), {LATEST_CACHE}, {_done_sql('paragraphs', 'blk')}"""
+
+
+def _run(spark: SparkSession, base: str, **options: object) -> stages.Run:
     cache = table(spark, base, "translation_cache")
-    rows = stages.full_run(_blocks(spark, base), table(spark, base, "ocr_pages"), cache, translate.DictionaryBackend(translate.latest_entries(cache)))
-    return rows.select(*PAGE, "para_idx", "text", "translation", "from_cache")
+    return stages.full_run(_blocks(spark, base), table(spark, base, "ocr_pages"), cache, translate.DictionaryBackend(translate.latest_entries(cache)), **options)
+
+
+@query(f"WITH {RUN} SELECT doc_id, page_num, para_idx, text, coalesce(translation, '') AS translation, level FROM paragraphs LEFT JOIN done USING (doc_id, page_num, para_idx)")
+def full_run(spark: SparkSession, base: str) -> DataFrame:
+    """Recognition and translation in one run: whole paragraphs, then lines."""
+    return _run(spark, base).paragraphs.select(*PAGE, "para_idx", "text", "translation", "level")
+
+
+@query(f"WITH {RUN} SELECT doc_id, page_num, para_idx, text, string_agg(b.text, chr(10) ORDER BY line_idx) AS translation FROM paragraphs p JOIN (SELECT doc_id, page_num, para_idx, line_idx, text FROM blk) b USING (doc_id, page_num, para_idx) GROUP BY doc_id, page_num, para_idx, p.text".replace("para_idx, text, string_agg", "para_idx, p.text, string_agg"))
+def ocr_only_run(spark: SparkSession, base: str) -> DataFrame:
+    """A run without translation: the recognised lines stand for it."""
+    return _run(spark, base, ocr_only=True).paragraphs.select(*PAGE, "para_idx", "text", "translation")
 
 
 # --- fitting and drawing ------------------------------------------------------------------------------------------------
@@ -499,7 +665,19 @@ def proportional_split(spark: SparkSession, base: str) -> DataFrame:
     return rows.select(*PAGE, "para_idx", "line_idx", "part")
 
 
-@query()
+def _fit_sql(source: str, key: str) -> str:
+    """Largest size that fits and its lines, for rows (``key``, text, w, h, initial) of ``source``: fitted (``key``, font, line_no, line)."""
+    return f"""fit_in AS (SELECT {key}, {_strip('text')} AS text, w, h, initial FROM {source} WHERE {_strip('text')} <> ''),
+  fit_step AS (SELECT {key}, size, w * 0.95::DOUBLE AS room, -1::BIGINT AS line_no, text AS rest, '' AS line FROM (SELECT *, unnest(CASE WHEN initial > 4 THEN range(4, initial + 1) ELSE [4] END)::BIGINT AS size FROM fit_in WHERE w >= 2 AND h >= 2)
+    UNION ALL SELECT {key}, size, room, line_no + 1, regexp_replace(substring(rest, stop + 1), '^{BLANK}+', ''), regexp_replace(substring(rest, 1, stop), '{BLANK}+$', '')
+    FROM (SELECT *, coalesce(list_position(list_transform(range(2, len(u) + 1), lambda k: size * list_sum(u[1:k]) > room), true), len(u))::BIGINT AS stop FROM (
+      SELECT *, list_transform(string_split(substring(rest, 1, trunc(room * 2 / size)::BIGINT + 3), ''), lambda c: CASE WHEN c BETWEEN '一' AND '鿿' OR c BETWEEN '　' AND 'ヿ' THEN 1.0 ELSE 0.5 END) AS u FROM fit_step WHERE rest <> ''))),
+  fit_lines AS (SELECT {key}, size, line_no, line FROM fit_step WHERE line_no >= 0),
+  fit_best AS (SELECT {key}, coalesce(max(size) FILTER (c * size * 1.25 <= h), 4) AS font FROM (SELECT {key}, size, h, count(*) AS c FROM fit_lines JOIN (SELECT {key}, h FROM fit_in) USING ({key}) GROUP BY ALL) GROUP BY ALL),
+  fitted AS (SELECT {key}, font, line_no, line FROM fit_best JOIN fit_lines l USING ({key}) WHERE l.size = font UNION ALL SELECT {key}, initial, 0, text FROM fit_in WHERE w < 2 OR h < 2)"""
+
+
+@query(f"WITH RECURSIVE {LATEST_CACHE}, texts AS (SELECT source_hash, translated_text AS text, 300.0::DOUBLE AS w, 60.0::DOUBLE AS h, 12::BIGINT AS initial FROM entry WHERE translated_text IS NOT NULL), {_fit_sql('texts', 'source_hash')} SELECT source_hash, font, line_no, line FROM fitted")
 def wrapped_lines(spark: SparkSession, base: str) -> DataFrame:
     """Cached translations fitted into a box of 300 by 60 points: font size and lines."""
     cache = translate.latest_entries(table(spark, base, "translation_cache"))
@@ -532,7 +710,22 @@ def draw_frames(spark: SparkSession, base: str) -> DataFrame:
     return draw.cluster_frames(clusters).unionByName(draw.line_frames(lines))
 
 
-@query()
+def _draw_sql(lines: str, done: str) -> str:
+    """Ground and text commands of ``done`` (doc_id, page_num, para_idx, translation) over ``lines`` (box)."""
+    height = "(y1 - y0) * 72.0::DOUBLE / dpi"
+    return f"""drawn AS (SELECT l.*, dpi FROM {lines} l JOIN points USING (doc_id, page_num)),
+  areas AS (SELECT doc_id, page_num, para_idx, dpi, min(x0) * 72.0::DOUBLE / dpi + 3 AS le, min(y0) * 72.0::DOUBLE / dpi + 3 AS tp, max(x1) * 72.0::DOUBLE / dpi - 3 AS ri, max(y1) * 72.0::DOUBLE / dpi - 3 AS bo,
+    list_sort(coalesce(list(greatest(1, trunc({height} * 0.72::DOUBLE)::BIGINT)) FILTER ({height} >= 2), [])) AS fonts FROM drawn GROUP BY doc_id, page_num, para_idx, dpi),
+  area_text AS (SELECT a.*, d.translation AS text, ri - le AS w, bo - tp AS h, CASE WHEN len(fonts) = 0 THEN 10 ELSE fonts[len(fonts) // 2 + 1] END AS initial, concat_ws('-', doc_id, page_num, para_idx) AS key
+    FROM areas a JOIN {done} d USING (doc_id, page_num, para_idx) WHERE coalesce({_strip('d.translation')}, '') <> '' AND ri - le >= 4 AND bo - tp >= 4), {_fit_sql('area_text', 'key')},
+  commands AS (SELECT doc_id, page_num, para_idx AS item_idx, 'ground' AS op, 1 AS layer, -1 AS line_no, le - 3 * 72.0::DOUBLE / dpi AS x, tp - 3 * 72.0::DOUBLE / dpi AS y, ri + 3 * 72.0::DOUBLE / dpi AS x1, bo + 3 * 72.0::DOUBLE / dpi AS y1, 0 AS font, NULL::VARCHAR AS text FROM area_text
+    UNION ALL SELECT doc_id, page_num, para_idx, 'text', 1, line_no, le, tp + font + line_no * font * 1.25::DOUBLE, NULL, NULL, font, line FROM fitted JOIN area_text USING (key) WHERE line <> '')"""
+
+
+COMMANDS = "SELECT doc_id, page_num, item_idx::BIGINT AS item_idx, op, layer::BIGINT AS layer, line_no::BIGINT AS line_no, x, y, x1, y1, font::BIGINT AS font, text FROM"
+
+
+@query(f"WITH RECURSIVE {_line_sql()}, {POINTS}, {_draw_sql('lines', '(SELECT doc_id, page_num, para_idx, translated_text AS translation FROM latest)')} {COMMANDS} commands")
 def draw_commands(spark: SparkSession, base: str) -> DataFrame:
     """White grounds and text lines of the stored translations."""
     paras = table(spark, base, "ocr_paragraphs")
@@ -554,12 +747,23 @@ def translation_quality(spark: SparkSession, base: str) -> DataFrame:
     return stages.line_quality(store.latest_paragraphs(table(spark, base, "ocr_paragraphs")).withColumn("translated", F.col("translated_text")))
 
 
-@query()
-def debug_documents(spark: SparkSession, base: str) -> DataFrame:
-    """Debug JSON of each page: source and translated lines paired."""
-    paras = store.latest_paragraphs(table(spark, base, "ocr_paragraphs"))
-    lines = paras.select(*PAGE, "para_idx", F.transform(t.stored_lines(F.col("line_bboxes_json")), lambda x: x["text"]).alias("sources"), F.split(F.coalesce("translated_text", F.lit("")), "\n").alias("translations"))
-    return store.debug_document(lines)
+@query(f"""WITH RECURSIVE {RUN}, {POINTS}, {_draw_sql('blk', 'done')} {COMMANDS} (SELECT * FROM commands
+  UNION ALL SELECT doc_id, page_num, para_idx, 'frame', 0, -1, x0 * 72.0::DOUBLE / dpi, y0 * 72.0::DOUBLE / dpi, x1 * 72.0::DOUBLE / dpi, y1 * 72.0::DOUBLE / dpi, 0, NULL FROM paragraphs JOIN points USING (doc_id, page_num) WHERE (x1 - x0) * 72.0::DOUBLE / dpi >= 4 AND (y1 - y0) * 72.0::DOUBLE / dpi >= 4
+  UNION ALL SELECT doc_id, page_num, line_idx, 'line', 2, -1, x0 * 72.0::DOUBLE / dpi, y0 * 72.0::DOUBLE / dpi, x1 * 72.0::DOUBLE / dpi, y1 * 72.0::DOUBLE / dpi, 0, NULL FROM blk JOIN points USING (doc_id, page_num) WHERE (x1 - x0) * 72.0::DOUBLE / dpi >= 2 AND (y1 - y0) * 72.0::DOUBLE / dpi >= 2)""")
+def page_commands(spark: SparkSession, base: str) -> DataFrame:
+    """All draw commands of a run, in layers: outlines of clusters, their texts, outlines of lines."""
+    return _run(spark, base).commands
+
+
+@query(f"""WITH {POINTS}, lined AS (SELECT DISTINCT doc_id, page_num FROM ocr_paragraphs WHERE json_array_length(line_bboxes_json) > 0)
+  SELECT doc_id, page_num, CASE WHEN l.doc_id IS NULL THEN 'copy' ELSE 'raster' END AS page_mode, CASE WHEN l.doc_id IS NULL THEN 'copy' ELSE 'inpaint' END AS inpaint_mode, 'raster' AS debug_mode FROM points p LEFT JOIN lined l USING (doc_id, page_num)""".replace("l.doc_id IS NULL", "NOT EXISTS (SELECT 1 FROM lined l WHERE l.doc_id = p.doc_id AND l.page_num = p.page_num)").replace(" LEFT JOIN lined l USING (doc_id, page_num)", ""))
+def page_modes(spark: SparkSession, base: str) -> DataFrame:
+    """How each page gets onto the output: as the options stand, with inpainting, and in debug mode."""
+    lines, pages = stages.stored_line_rows(table(spark, base, "ocr_paragraphs")), _points(spark, base)
+    rows = draw.page_modes(pages, lines)
+    for name, options in (("inpaint_mode", {"disable_inpaint": False}), ("debug_mode", {"debug": True})):
+        rows = rows.join(draw.page_modes(pages, lines, **options).withColumnRenamed("page_mode", name), PAGE)
+    return rows
 
 
 # --- extension: sessions --------------------------------------------------------------------------------------------------

@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set an own one only where none is set (tests)."""
+    """Use the cluster's shared checkpoint folder; only a local session without one gets an own folder.
+
+    Raises ValueError on a cluster without ``spark.checkpoint.dir``: executors would each write to their own disk.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quire-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
 
