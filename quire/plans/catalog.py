@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import fit
 from ..functions import geometry as g
 from ..functions import text as t
+from ..session import shared_folder
 from ..operators import boxes, draw, layout, simple, translate
-from ..sources import store
+from ..sources import pdf, store
 from ..sources.tables import table
 from . import stages
 from ..streaming import pages as streams
@@ -766,6 +768,83 @@ def page_modes(spark: SparkSession, base: str) -> DataFrame:
     return rows
 
 
+# --- pages in and out -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {LATEST_PARAGRAPHS}, {_line_sql().replace(LATEST_PARAGRAPHS + ', ', '', 1)},
+  spans AS (SELECT doc_id, page_num, para_idx AS block_idx, {_strip("string_agg(coalesce(text, ''), '' ORDER BY line_idx)")} AS text, round_even(max(font_size), 1) AS font_size, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM lines GROUP BY doc_id, page_num, para_idx)
+  SELECT doc_id, page_num, block_idx::BIGINT AS block_idx, text, font_size, x0, y0, x1, y1 FROM spans WHERE text <> ''""")
+def native_blocks(spark: SparkSession, base: str) -> DataFrame:
+    """Text blocks from spans, each printed line taken as a span of its paragraph."""
+    lines = stages.stored_line_rows(table(spark, base, "ocr_paragraphs"))
+    spans = lines.select(*PAGE, F.col("para_idx").alias("block_idx"), F.lit(0).alias("block_kind"), F.col("line_idx").alias("span_idx"), "text", F.col("font_size").alias("size"), "x0", "y0", "x1", "y1")
+    return boxes.read_spans(spans).select(*PAGE, "block_idx", "text", "font_size", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT block_id FROM blocks WHERE source = 'ocr' UNION ALL SELECT block_id FROM blocks b WHERE source <> 'ocr' AND NOT EXISTS (SELECT 1 FROM blocks o WHERE o.source = 'ocr' AND o.doc_id = b.doc_id AND o.page_num = b.page_num)")
+def native_or_ocr(spark: SparkSession, base: str) -> DataFrame:
+    """Recognised blocks of the pages that have some, native blocks of all others."""
+    rows = _blocks(spark, base)
+    return boxes.keep_native_if_no_ocr(rows.where("source != 'ocr'"), rows.where("source = 'ocr'")).select("block_id")
+
+
+@query(f"WITH {POINTS} SELECT doc_id, page_num, CASE WHEN page_num = 1 THEN 'translated' ELSE status END AS status FROM points")
+def pages_saved(spark: SparkSession, base: str) -> DataFrame:
+    """A store in the shared folder after saving all pages, and first pages once more: the other pages of their documents stay."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    pages = store.latest_pages(table(spark, base, "ocr_pages")).select(*PAGE, "status")
+    store.save_pages(pages, path)
+    store.save_pages(pages.where("page_num = 1").withColumn("status", F.lit("translated")), path)
+    return spark.read.parquet(path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "page_num", "status")
+
+
+@query(f"WITH {LATEST_PARAGRAPHS} SELECT para_idx::BIGINT AS para_idx, text, translated_text FROM latest WHERE doc_id = 7 AND page_num = 1")
+def stored_page(spark: SparkSession, base: str) -> DataFrame:
+    """One page of the store, in order of its paragraphs."""
+    return store.load_page(store.latest_paragraphs(table(spark, base, "ocr_paragraphs")), 7, 1).select("para_idx", "text", "translated_text")
+
+
+@query("""SELECT a.block_id AS a_id, b.block_id AS b_id, greatest(a.x0, b.x0) AS x0, greatest(a.y0, b.y0) AS y0, least(a.x1, b.x1) AS x1, least(a.y1, b.y1) AS y1 FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND a.block_id < b.block_id
+  WHERE greatest(a.x0, b.x0) < least(a.x1, b.x1) AND greatest(a.y0, b.y0) < least(a.y1, b.y1)""")
+def intersections(spark: SparkSession, base: str) -> DataFrame:
+    """Common boxes of blocks of a page."""
+    rows = _pairs(spark, base).withColumn("i", g.intersection(g.box("a_"), g.box("b_"))).where("i is not null")
+    return rows.select(F.col("a_block_id").alias("a_id"), F.col("b_block_id").alias("b_id"), "i.*")
+
+
+@query(f"""WITH w AS (SELECT cache_id, translated_text AS t, len(regexp_extract_all(translated_text, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3000}}-\\x{{30ff}}]')) AS wide FROM translation_cache WHERE translated_text IS NOT NULL)
+  SELECT cache_id, CASE WHEN {_strip('t')} = '' THEN 0 ELSE greatest(1, trunc(least(floor(240.0::DOUBLE * 0.95::DOUBLE / (wide + 0.5::DOUBLE * (length(t) - wide))), floor(20.0::DOUBLE * 0.95::DOUBLE), 200)))::BIGINT END AS font FROM w""")
+def one_line_fonts(spark: SparkSession, base: str) -> DataFrame:
+    """Largest size at which each translation stands on one line of 240 by 20 points."""
+    rows = table(spark, base, "translation_cache").where("translated_text is not null")
+    return rows.select("cache_id", fit.one_line_font(F.col("translated_text"), F.lit(240.0), F.lit(20.0)).alias("font"))
+
+
+@query(f"WITH {LATEST_PARAGRAPHS} SELECT id, CASE WHEN len(string_split(translated_text, chr(10))) = para_idx + 1 THEN {_strip('string_split(translated_text, chr(10))[1]')} END AS first_part FROM latest")
+def cluster_splits(spark: SparkSession, base: str) -> DataFrame:
+    """First paragraph of each translation if it has as many lines as the paragraph's number says, else null."""
+    rows = store.latest_paragraphs(table(spark, base, "ocr_paragraphs"))
+    return rows.select("id", fit.split_cluster_text(F.col("translated_text"), F.col("para_idx") + 1)[0].alias("first_part"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'japan' THEN 'ja' WHEN 'japanese' THEN 'ja' WHEN 'chinese' THEN 'ch_sim' WHEN 'eng' THEN 'en' ELSE lang END AS code FROM documents")
+def language_codes(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "documents").select("doc_id", t.language_alias(F.col("lang")).alias("code"))
+
+
+@query(f"""WITH {POINTS} SELECT doc_id, page_num, CASE WHEN EXISTS (SELECT 1 FROM ocr_paragraphs l WHERE json_array_length(line_bboxes_json) > 0 AND l.doc_id = p.doc_id AND l.page_num = p.page_num) THEN 'image' ELSE 'copy' END AS op, width AS x1, height AS y1 FROM points p""")
+def page_pictures(spark: SparkSession, base: str) -> DataFrame:
+    """The lowest layer of each page's commands: its picture, or the page itself."""
+    pages = _points(spark, base)
+    return pdf.image_commands(draw.page_modes(pages, stages.stored_line_rows(table(spark, base, "ocr_paragraphs"))), pages).select(*PAGE, "op", "x1", "y1")
+
+
+@query("SELECT date_trunc('day', ts) AS started, event_type, count(*) AS n_events FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, base: str) -> DataFrame:
+    """Extension: events of each day and type."""
+    return streams.windowed_counts(table(spark, base, "events"))
+
+
 # --- extension: sessions --------------------------------------------------------------------------------------------------
 
 

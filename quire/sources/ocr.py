@@ -1,14 +1,13 @@
-"""Recognition backends and PDF input. Engines are pluggable; none is installed here."""
+"""Recognition backends. Engines are pluggable; none is installed here."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import language_alias
 from ..operators.boxes import PAGE, merge_engines
 
 #: polygon results of an engine: one row for each text found
@@ -69,10 +68,6 @@ def recognise_with(pages: DataFrame, engines: list[str], language: str = "ja") -
     return merge_engines(union) if len(parts) > 1 else union
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """PDF files as binary rows; pages are taken from them by a reader backend."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-
-
-def language_code(c: Column) -> Column:
-    return language_alias(c)
+def recognise_as(pages: DataFrame, engine: str, language: str = "ja", first: str = "easyocr", second: str = "paddle") -> DataFrame:
+    """Blocks by the option ``ocr_engine``: 'both' unites the two engines, the name of the second takes it alone, anything else the first."""
+    return recognise_with(pages, [first, second] if engine == "both" else [second] if engine == second else [first], language)
