@@ -16,6 +16,7 @@ ECHO_MARKERS = (
 )
 # Bullets that open a paragraph.
 BULLETS = "•◦▪●○・·\\-–"
+# Names of languages that stand for codes.
 LANGUAGE_ALIASES = {"japan": "ja", "ja": "ja", "japanese": "ja", "chinese": "ch_sim", "eng": "en"}
 
 

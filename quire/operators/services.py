@@ -15,14 +15,12 @@ from pyspark.sql import DataFrame
 
 from . import translate
 
-# What the services are told to do, and the seconds they may take.
-PARAGRAPH_PROMPT = (
-    "Translate the following Japanese text into Simplified Chinese.\nCRITICAL: The input is a single paragraph. Translate it as one coherent paragraph.\n"
-    "Keep English words, numbers, units, URLs, and part numbers unchanged.\nOutput ONLY the translated result. No explanations.\n"
-)
+# What the services are told to do, and the seconds they may take (fixed value).
+KEEP = "Leave English words, figures, units, addresses and part numbers as they are."
+PARAGRAPH_PROMPT = f"You translate Japanese into Simplified Chinese. The input is one paragraph: answer with its translation alone, as one paragraph, without remarks. {KEEP}"
 JSON_PROMPT = (
     "You translate Japanese into Simplified Chinese. The input is a JSON object with an array \"items\" of objects with \"id\" and \"text\". Answer with a JSON object of the same form: "
-    "every id once, text translated, no item left out, merged or split, no explanations. Keep English words, numbers, units, URLs and part numbers unchanged."
+    f"every id once, text translated, no item left out, merged or split, no remarks. {KEEP}"
 )
 TIMEOUT = 1800
 
