@@ -164,6 +164,44 @@ def test_alignment_of_tables(spark):
     assert alignment.align_pairs(df, [], [], {}, alignment.NO_COUNTS, ["id"]).count() == 0
 
 
+def test_no_unit_and_no_pair_of_units_is_left_out_of_the_table(spark, monkeypatch):
+    common = [("水門を点検した。", "检查了闸板。"), ("電池を交換した。", "更换了蓄能器。"), ("費用を計上した。", "列支了款项。")]
+    rare = ("珊瑚礁を撮影した。", "拍摄了堡礁。")
+    rows = [(i, common[i % 3][0] + common[i // 3 % 3][0], common[i // 3 % 3][1] + common[i % 3][1]) for i in range(6000)]
+    rows += [(6000 + k, rare[0] + x[0], x[1] + rare[1]) for k, x in enumerate(common[:2])]  # in less than 0.05 % of the texts
+    rows.append((7000, "鰐が水門にいた。", "闸板上有鳄。"))  # in one alone
+    df = spark.createDataFrame(rows, "id bigint, source string, target string")
+    encoded = alignment.encode_units(df)
+    source, target, info = alignment.unit_frequency(encoded)
+    sets = [[set(np.frombuffer(side, np.uint32).tolist()) for side in r] for r in encoded.collect()]
+    assert source == sorted(set().union(*(s for s, _ in sets))) and target == sorted(set().union(*(t for _, t in sets))) and set(info) == {*source, *target}
+    counts = alignment.learn_table(encoded, source, target)
+    whole = sorted(zip(*(x.tolist() for x in counts)))
+    pairs_of_codes = {(a, b) for s, t in sets for a in s for b in t}
+    assert {(source[a], target[b]) for a, b, _ in whole} == pairs_of_codes
+    # each occurrence of a target unit is shared out in full
+    of_target = np.bincount(counts[1], counts[2], len(target))
+    assert np.allclose(of_target, [sum(code in t for _, t in sets) for code in target], rtol=1e-3)
+    assert len(alignment.associations(counts, len(source), len(target))[0]) == len(pairs_of_codes)
+    linked = lambda: {(r.id, r.source_sentence, r.target_sentence) for r in alignment.align_pairs(df.where("id >= 6000"), source, target, info, counts, ["id"]).collect()}
+    links = linked()
+    assert links == {(6000, 1, 2), (6000, 2, 1), (6001, 1, 2), (6001, 2, 1), (7000, 1, 1)}
+    # blocks of target units and the sparse table give the same
+    monkeypatch.setattr(alignment, "BLOCK_CELLS", 7 * len(source))
+    blocks = sorted(zip(*(x.tolist() for x in alignment.learn_table(encoded, source, target))))
+    assert [x[:2] for x in blocks] == [x[:2] for x in whole] and np.allclose([x[2] for x in blocks], [x[2] for x in whole], rtol=1e-3, atol=1e-6)
+    linked_units = alignment.associations(counts, len(source), len(target))
+    dense = alignment.Table(source, target, info, linked_units)
+    monkeypatch.setattr(alignment, "TABLE_CELLS", 0)
+    sparse = alignment.Table(source, target, info, linked_units)
+    rnd = np.random.default_rng(1)
+    at = rnd.integers(0, len(source) + 1, 50), rnd.integers(0, len(target) + 1, 40)
+    assert dense.dense is not None and sparse.dense is None and (dense.scores(*at) == sparse.scores(*at)).all()
+    assert [alignment.align(s, t, sparse) for _, s, t in rows[-30:]] == [alignment.align(s, t, dense) for _, s, t in rows[-30:]]
+    monkeypatch.setattr(alignment, "_is_large", lambda a, b: True)
+    assert linked() == links
+
+
 def test_all_translated_paragraphs_enter_the_statistics(spark, monkeypatch):
     seen = {}
     encode, learn = alignment.encode_units, pairs.learn_endings
